@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from koine.llm import exact_dedup, license_scan, mixing, url_filter
+from koine.llm import bpe, exact_dedup, html_text, license_scan, mixing, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op3_quality": quality.query,
     "op5_mixing": mixing.query,
+    "op6_html_text": html_text.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_license_scan": license_scan.query,
+    "op10_bpe": bpe.query,
 }
 
 ORACLE_SQL = {
