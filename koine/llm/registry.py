@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from koine.llm import bpe, exact_dedup, html_text, license_scan, mixing, quality, url_filter
+from koine.llm import bpe, exact_dedup, html_text, license_scan, mixing, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op3_quality": quality.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_mixing": mixing.query,
     "op6_html_text": html_text.query,
     "op7_exact_dedup": exact_dedup.query,
