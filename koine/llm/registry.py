@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from koine.llm import bpe, exact_dedup, html_text, license_scan, mixing, quality, substring_dedup, url_filter
+from koine.llm import bpe, exact_dedup, html_text, license_scan, mixing, neighbours, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_neighbours": neighbours.query,
     "op3_quality": quality.query,
     "op4_substring_dedup": substring_dedup.query,
     "op5_mixing": mixing.query,
