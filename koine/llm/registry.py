@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from koine.llm import bpe, exact_dedup, html_text, license_scan, mixing, neighbours, quality, substring_dedup, url_filter
+from koine.llm import bpe, exact_dedup, html_text, jaccard_join, license_scan, mixing, neighbours, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_html_text": html_text.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_license_scan": license_scan.query,
+    "op9_jaccard_join": jaccard_join.query,
     "op10_bpe": bpe.query,
 }
 
