@@ -34,10 +34,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from koine.llm.chunks import CHUNK_BYTES, id_ranges, packed, text_of, text_size, unpacked
 from koine.llm.tables import table
 from koine.llm.text import U, Words, buffers, combine, mix, pack_bytes, pack_sorted, slices, strings, unpack_bytes, unpack_sorted, words
+from koine.sources.scratch import written
 
 WINDOW = 13
 #: Windows in a group, about.
 GROUP_WINDOWS = 1 << 20
+#: Occurrences in a slice of text below which a prefix is not counted.
+SLICE_LEAST = 24
 
 
 def _prefix(w: Words, at: np.ndarray, depth: int) -> np.ndarray:
@@ -47,7 +50,8 @@ def _prefix(w: Words, at: np.ndarray, depth: int) -> np.ndarray:
 def heavy_prefixes(docs: DataFrame, text_col: str, groups: int, window: int) -> dict[int, np.ndarray]:
     """By length, the prefixes with more than 1 / (4 ``groups``) of all suffixes:
     at most 4 ``groups`` of each length, counted over the whole corpus (a slice
-    of text leaves out those with less than a quarter of that share in it)."""
+    of text leaves out those with less than half of that share in it, or a
+    handful of occurrences, which cannot make a group too large)."""
     share = 1.0 / (4 * groups)
 
     def run(batches):
@@ -57,7 +61,7 @@ def heavy_prefixes(docs: DataFrame, text_col: str, groups: int, window: int) ->
                 w = words(text, a, z)
                 _, at = w.windows(window)
                 depth, prefix, count = [0], [np.zeros(1, U)], [np.array([len(at)])]
-                least = max(2.0, share / 4 * len(at))
+                least = max(SLICE_LEAST, share / 2 * len(at))
                 for d in range(1, window):
                     values, where, n = np.unique(_prefix(w, at, d), return_inverse=True, return_counts=True)
                     heavy = n >= least
@@ -71,9 +75,9 @@ def heavy_prefixes(docs: DataFrame, text_col: str, groups: int, window: int) ->
                     [pa.array(depth, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)), pa.array(np.concatenate(count).astype(np.int64))], ["d", "p", "n"]
                 )
 
-    counts = docs.select(text_col).mapInArrow(run, "d int, p long, n long").groupBy("d", "p").agg(F.sum("n").alias("n"))
-    total = counts.where("d = 0").select(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    got = counts.where("d > 0").crossJoin(F.broadcast(total)).where(F.col("n") > F.col("total") * F.lit(share)).select("d", "p").collect()
+    counts = written(docs.select(text_col).mapInArrow(run, "d int, p long, n long").groupBy("d", "p").agg(F.sum("n").alias("n")), "prefixes")
+    total = counts.where("d = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    got = counts.where((F.col("d") > 0) & (F.col("n") > share * total)).select("d", "p").collect()
     return {d: np.sort(np.array([r["p"] for r in got if r["d"] == d], dtype=np.int64).view(U)) for d in {r["d"] for r in got}}
 
 
