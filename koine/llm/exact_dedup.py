@@ -70,13 +70,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
     groups = written(exact_groups(docs, id_col, text_col).where("kept"), "kept")
-    keep = groups.select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    out = rows.join(keep.distinct(), rows[id_col].eqNullSafe(keep["_keep"]) & (rows["_sha"] == keep["_sha"]), "left_semi")
-    repeated = groups.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
-    if repeated:
-        out = out.dropDuplicates([id_col, "_sha"])
-    return out.drop("_sha")
+    keep = groups.select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha")).distinct()
+    # the row as one column, so that no name of its columns can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
+    out = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha")), "left_semi")
+    if groups.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():  # rows that repeat id and text
+        out = out.dropDuplicates(["id", "sha"])
+    return out.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,24 +70,15 @@ def tempered(counts: dict[str, int], temperature: float = 2.0) -> dict[str, floa
     return {k: n ** (1.0 / temperature) for k, n in counts.items() if n}
 
 
-def _key(source: str):
-    return F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source)))
-
-
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``_block, _slot, _offset``: the block of its source, the
-    block's slot in the mixture and the place in the block.
-
-    ``weights`` gives each source's target; those missing in it, and all when it
-    is None, get tempered weights of their row counts over the whole table.
-    Within a source the order is by hash of the id, ties by id; rows that repeat
-    an id follow one another.  A null source is a source of its own.  An empty
-    table gives an empty result.
-    """
+def _placed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows: int, resolution: int, id_col: str, source_col: str) -> DataFrame:
+    """``row, block, slot, offset`` with each row of ``docs`` as one column."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("_src", _key(source_col)).withColumn("_h", F.xxhash64(F.lit(17), F.col(id_col)))
-    totals = keyed.groupBy("_src").count()
-    found = {r["_src"]: r["count"] for r in totals.limit(MAX_SOURCES + 1).collect()}
+    source = F.col(source_col)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.lit(17), id_col).alias("h"),
+        F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source.cast("string"))).alias("src"),
+    )
+    found = {r["src"]: r["count"] for r in rows.groupBy("src").count().limit(MAX_SOURCES + 1).collect()}
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: map them to fewer groups first")
     target = tempered(found)
@@ -98,31 +89,49 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     slots = apportion(target, resolution)
     period = sum(slots.values())
     bits = min(16, (max(found.values(), default=1) // BUCKET_ROWS).bit_length() + 2)
-    keyed = keyed.withColumn("_bucket", F.expr(f"shiftrightunsigned(_h, {64 - bits})"))
+    rows = rows.withColumn("bucket", F.expr(f"shiftrightunsigned(h, {64 - bits})"))
     # at most sources x 2^bits rows
-    ahead = W.partitionBy("_src").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = keyed.groupBy("_src", "_bucket").count().withColumn("_start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
-    inside = W.partitionBy("_src", "_bucket").orderBy("_h", id_col)
-    ranked = keyed.withColumn("_in", F.row_number().over(inside) - 1).join(starts, ["_src", "_bucket"])
-    table_rows = [(k, slots[k], j, s) for k, own in schedule(slots).items() for j, s in enumerate(own)]
-    period_table = spark.createDataFrame(table_rows, "_src string, _a int, _j int, _at int")
-    shares = spark.createDataFrame(list(slots.items()), "_src string, _a int")
-    rank = F.col("_start") + F.col("_in")
-    ranked = ranked.withColumn("_block", F.floor(rank / block_rows)).withColumn("_offset", F.pmod(rank, F.lit(block_rows)).cast("int"))
-    ranked = ranked.join(F.broadcast(shares), "_src").withColumn("_j", F.pmod(F.col("_block"), F.col("_a").cast("long")).cast("int"))
-    placed = ranked.join(F.broadcast(period_table.drop("_a")), ["_src", "_j"])
-    slot = F.floor(F.col("_block") / F.col("_a")) * F.lit(period).cast("long") + F.col("_at")
-    return placed.withColumn("_slot", slot.cast("long")).select(*docs.columns, "_block", "_slot", "_offset")
-
-
-def in_order(docs: DataFrame, **options) -> DataFrame:
+    ahead = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("src", "bucket").count().withColumn("start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
+    inside = W.partitionBy("src", "bucket").orderBy("h", "id")
+    ranked = rows.withColumn("in", F.row_number().over(inside) - 1).join(starts, ["src", "bucket"])
+    shares = spark.createDataFrame([(k, a) for k, a in slots.items()], "src string, a int")
+    period_table = spark.createDataFrame([(k, j, s) for k, own in schedule(slots).items() for j, s in enumerate(own)], "src string, j int, at int")
+    rank = F.col("start") + F.col("in")
+    ranked = ranked.withColumn("block", F.floor(rank / block_rows)).withColumn("offset", F.pmod(rank, F.lit(block_rows)).cast("int"))
+    ranked = ranked.join(F.broadcast(shares), "src").withColumn("j", F.pmod(F.col("block"), F.col("a").cast("long")).cast("int"))
+    placed = ranked.join(F.broadcast(period_table), ["src", "j"])  # both tables are bounded by the period
+    slot = F.floor(F.col("block") / F.col("a")) * F.lit(period).cast("long") + F.col("at")
+    return placed.select("row", "block", slot.cast("long").alias("slot"), "offset")
+
+
+def mixed(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, id_col: str = "doc_id", source_col: str = "source"
+) -> DataFrame:
+    """``docs`` with ``block, slot, offset``: the block of its source, the
+    block's slot in the mixture and the place in the block (columns of these
+    names in ``docs`` give way).
+
+    ``weights`` gives each source's target; those missing in it, and all when it
+    is None, get tempered weights of their row counts over the whole table.
+    Within a source the order is by hash of the id, ties by id; rows that repeat
+    an id follow one another.  A null source is a source of its own.  An empty
+    table gives an empty result.
+    """
+    out = _placed(docs, weights, block_rows, resolution, id_col, source_col)
+    own = [c for c in docs.columns if c not in ("block", "slot", "offset")]
+    return out.select(*[F.col("row").getField(c).alias(c) for c in own], "block", "slot", "offset")
+
+
+def in_order(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, id_col: str = "doc_id", source_col: str = "source"
+) -> DataFrame:
     """``docs`` with the same columns, its rows in the order of the mixture
     (files in slot order, rows of a file too)."""
-    placed = written(mixed(docs, **options), "mixed")
+    placed = written(_placed(docs, weights, block_rows, resolution, id_col, source_col), "mixed")
     n = max(1, placed.rdd.getNumPartitions())
-    return placed.repartitionByRange(n, "_slot", "_offset").sortWithinPartitions("_slot", "_offset").select(*docs.columns)
+    return placed.repartitionByRange(n, "slot", "offset").sortWithinPartitions("slot", "offset").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixed(docs).select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_offset").alias("offset"))
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
