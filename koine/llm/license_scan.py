@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from koine.llm.tables import table
 
 #: Every pattern below needs one of these words.
-TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|spdx|public domain|copyleft"
+TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|spdx|public domain|copyleft|endorse|creative commons|\bcc[ -]by"
 
 #: Known licence sentences: identifier and pattern over the normalised sentence; the first that fits counts.
 SENTENCES = [
