@@ -159,7 +159,7 @@ class Database:
     def canonicalize(self, term: TermId) -> TermId:
         """The representative of a term's class, pending unions included."""
         self._local(term)
-        root = self.roots.lookup([term.value]).get(term.value, term.value) if self.roots.path else term.value
+        root = self.roots.lookup([term.value]).get(term.value, term.value)
         return TermId(self.id, self._find(root), term.type)
 
     def equal(self, a: TermId, b: TermId) -> bool:
@@ -222,9 +222,7 @@ class Database:
         n = store.add(first)
         edges = (store.everything().join(rows, store.args) if store.args else store.everything().crossJoin(rows)).where("out <> _value")
         edges = edges.select(F.col("out").alias("a"), F.col("_value").alias("b")).distinct()
-        edges = self.spark.read.schema("a long, b long").parquet(self.folder.write(edges))
-        if edges.limit(1).count():
-            self.rebuild([(edges, m.signature.output.index)])
+        self.rebuild([(edges, m.signature.output.index)])
         return n
 
     def flush(self) -> None:

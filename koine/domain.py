@@ -72,11 +72,8 @@ class Domain:
             made, unions = apply_actions(rule, found, stores, roots)
             for m, rows in made:
                 inserts.setdefault(m.index, []).append(rows)
-            for u, t in zip(unions, types, strict=True):
-                path = db.folder.write(u.distinct())
-                rows = db.spark.read.schema("a long, b long").parquet(path)
-                if rows.limit(1).count():
-                    edges.append((rows, t.index))
+            # parts are never overwritten, so unions may be computed in the rebuild
+            edges += [(u.distinct(), t.index) for u, t in zip(unions, types, strict=True)]
         first = not self._unconditional_done
         self._unconditional_done = True
         for index, rows in inserts.items():
@@ -86,8 +83,7 @@ class Domain:
         if inserts:
             db._known = {}
         if edges:
-            db.rebuild(edges)
-            changed = True
+            changed |= db.rebuild(edges) > 0
         self.iterations += 1
         return changed or first or any(s.fresh for s in stores.values())
 

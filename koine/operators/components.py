@@ -29,7 +29,8 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def _on_driver(rows: list) -> list[tuple[int, int]]:
+def on_driver(edges: list[tuple]) -> list[tuple]:
+    """``(node, root)`` of a short list of edges."""
     up: dict = {}
 
     def find(x):
@@ -38,26 +39,20 @@ def _on_driver(rows: list) -> list[tuple[int, int]]:
             x = up[x]
         return x
 
-    for x, y in rows:
+    for x, y in edges:
         x, y = find(x), find(y)
         up[max(x, y)] = min(x, y)
     return [(x, find(x)) for x in list(up)]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", driver_edges: int = 0) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node of an edge with ``root`` the smallest node
     of its component; the root itself is listed too.
 
     Null ends and self loops are ignored, repeated edges count once, an empty
-    edge table gives an empty result.  With ``driver_edges``, a table of at most
-    so many edges is solved in one step on the driver.
+    edge table gives an empty result.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    if driver_edges:
-        few = e.limit(driver_edges + 1).collect()
-        if len(few) <= driver_edges:
-            kind = e.schema["a"].dataType.simpleString()
-            return e.sparkSession.createDataFrame(_on_driver(few), f"node {kind}, root {kind}")
     e = checkpointed(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):

@@ -3,97 +3,141 @@
 Edges become components; every map with a column of an affected type has its
 moved ids replaced; rows that then share arguments keep the smallest value, and
 their other values are edges of the next round.  Rounds end when none is left.
+
+Few edges (at most ``DRIVER_EDGES`` in a round) are united on the driver, which
+saves a round's jobs but two; more are united in Spark.  Moved ids are broadcast
+only up to ``BROADCAST_ROWS``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from koine.operators.components import components
+from koine.operators.components import components, on_driver
 from koine.sources.store import Folder, MapStore
 
-#: Moved ids that may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Edges of a round that the driver may unite itself; more are united in Spark.
 DRIVER_EDGES = 20_000
+#: Rows of a map up to which it is rewritten without first looking whether it must be.
+SMALL_MAP = 200_000
+
+_MOVED = "term_id long, root long"
 
 
 class Roots:
-    """Moved ids ``(term_id, root)``; an id that is not here is its own root."""
+    """Moved ids and their roots; an id that is not here is its own root.
+
+    A dictionary while there are few, a table once there are more than
+    ``BROADCAST_ROWS``.
+    """
 
     def __init__(self, folder: Folder):
         self.folder = folder
+        self.few: dict[int, int] | None = {}
         self.path: str | None = None
         self.count = 0
 
+    def __bool__(self) -> bool:
+        return self.count > 0
+
     def frame(self) -> DataFrame | None:
-        return self.folder.spark.read.schema("term_id long, root long").parquet(self.path) if self.path else None
+        if not self.count:
+            return None
+        spark = self.folder.spark
+        if self.few is not None:
+            return spark.createDataFrame(list(self.few.items()), _MOVED)
+        return spark.read.schema(_MOVED).parquet(self.path)
 
     def canonical(self, df: DataFrame, columns: list[str]) -> DataFrame:
         uf = self.frame()
-        if uf is None:
-            return df
-        for c in columns:
-            df = _replaced(df, c, uf, self.count)
+        for c in columns if uf is not None else ():
+            df = replaced(df, c, uf, self.count)
         return df
 
-    def merge(self, moved: DataFrame) -> None:
-        """Add ``(term_id, root)`` of former roots that have moved."""
-        uf = self.frame()
+    def merge(self, moved: "Moved") -> None:
+        """Add former roots that have moved."""
+        if self.few is not None and moved.rows is not None and self.count + moved.count <= BROADCAST_ROWS:
+            onward = dict(moved.rows)
+            self.few = {k: onward.get(r, r) for k, r in self.few.items()} | onward
+            self.count = len(self.few)
+            return
+        uf, new = self.frame(), moved.frame(self.folder)
         if uf is not None:
-            onward = uf.join(moved.select(F.col("term_id").alias("root"), F.col("root").alias("_to")), "root", "left")
-            moved = onward.select("term_id", F.coalesce("_to", "root").alias("root")).unionByName(moved)
-        self.path = self.folder.write(moved.select("term_id", "root"))
-        self.count = self.frame().count()
+            onward = uf.join(new.select(F.col("term_id").alias("root"), F.col("root").alias("_to")), "root", "left")
+            new = onward.select("term_id", F.coalesce("_to", "root").alias("root")).unionByName(new)
+        self.path = self.folder.write(new.select("term_id", "root"))
+        self.few = None
+        self.count = self.folder.spark.read.schema(_MOVED).parquet(self.path).count()
 
     def lookup(self, ids: list[int]) -> dict[int, int]:
         """Roots of some ids that the driver knows."""
-        uf = self.frame()
-        if uf is None or not ids:
+        if not self.count or not ids:
             return {}
-        return {r["term_id"]: r["root"] for r in uf.where(F.col("term_id").isin(ids)).collect()}
+        if self.few is not None:
+            return {i: self.few[i] for i in ids if i in self.few}
+        return {r["term_id"]: r["root"] for r in self.frame().where(F.col("term_id").isin(ids)).collect()}
+
 
+class Moved:
+    """Ids that have a new root in this round: rows on the driver or a table."""
 
-def _replaced(df: DataFrame, column: str, moved: DataFrame, count: int) -> DataFrame:
+    def __init__(self, rows: list[tuple[int, int]] | None, path: str | None, count: int):
+        self.rows, self.path, self.count = rows, path, count
+
+    def frame(self, folder: Folder) -> DataFrame:
+        if self.rows is not None:
+            return folder.spark.createDataFrame(self.rows, _MOVED)
+        return folder.spark.read.schema(_MOVED).parquet(self.path)
+
+
+def replaced(df: DataFrame, column: str, moved: DataFrame, count: int) -> DataFrame:
     m = moved.select(F.col("term_id").alias(column), F.col("root").alias("_root"))
     return df.join(F.broadcast(m) if count <= BROADCAST_ROWS else m, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
 
 
 def _touched(store: MapStore, columns: list[str], moved: DataFrame, count: int) -> bool:
-    """Whether any row holds a moved id."""
-    if count > BROADCAST_ROWS:  # so many that looking costs as much as rewriting
+    """Whether a map must be rewritten: not known for small maps, nor where
+    looking would cost as much."""
+    if count > BROADCAST_ROWS or store.rows(store.base, store.delta, store.fresh) <= SMALL_MAP:
         return True
     held = store.everything().select(F.explode(F.array(*columns)).alias("term_id"))
     return bool(held.join(F.broadcast(moved.select("term_id")), "term_id", "left_semi").limit(1).count())
 
 
+def _unite(edges: list[DataFrame], roots: Roots) -> Moved:
+    all_edges = edges[0]
+    for e in edges[1:]:
+        all_edges = all_edges.unionByName(e)
+    linked = roots.canonical(all_edges.select("a", "b"), ["a", "b"]).where("a <> b")
+    few = linked.limit(DRIVER_EDGES + 1).collect()
+    if len(few) <= DRIVER_EDGES:
+        rows = [(x, r) for x, r in on_driver([(e["a"], e["b"]) for e in few]) if x != r]
+        return Moved(rows, None, len(rows))
+    path = roots.folder.write(components(linked).where("node <> root").select(F.col("node").alias("term_id"), "root"))
+    return Moved(None, path, roots.folder.spark.read.schema(_MOVED).parquet(path).count())
+
+
 def rebuild(stores: list[MapStore], roots: Roots, edges: list[tuple[DataFrame, int]]) -> int:
     """Unite ``edges``, a list of ``(a, b)`` frames each with the index of its
-    type, and everything that follows by congruence; the number of rounds."""
-    folder, rounds = roots.folder, 0
+    type, and everything that follows by congruence; the number of rounds in
+    which an id moved."""
+    rounds = 0
     while edges:
-        rounds += 1
+        moved = _unite([e for e, _ in edges], roots)
         types = {t for _, t in edges}
-        all_edges = edges[0][0]
-        for e, _ in edges[1:]:
-            all_edges = all_edges.unionByName(e)
-        linked = roots.canonical(all_edges.select("a", "b"), ["a", "b"])
-        found = components(linked, driver_edges=DRIVER_EDGES).where("node <> root").select(F.col("node").alias("term_id"), "root")
-        path = folder.write(found)
-        moved = folder.spark.read.schema("term_id long, root long").parquet(path)
-        count = moved.count()
         edges = []
-        if not count:
+        if not moved.count:
             break
+        rounds += 1
         roots.merge(moved)
+        frame = moved.frame(roots.folder)
         for store in stores:
             signature = store.map.signature
             columns = [c for c, t in zip([*store.args, "out"], [*signature.inputs, signature.output], strict=True) if t.index in types]
-            if not columns or not store.rows(store.base, store.delta, store.fresh) or not _touched(store, columns, moved, count):
-                continue
-            conflict = _rewrite(store, columns, moved, count)
-            if conflict is not None:
-                edges.append((conflict, signature.output.index))
+            if columns and store.rows(store.base, store.delta, store.fresh) and _touched(store, columns, frame, moved.count):
+                conflict = _rewrite(store, columns, frame, moved.count)
+                if conflict is not None:
+                    edges.append((conflict, signature.output.index))
     return rounds
 
 
@@ -101,22 +145,22 @@ def _rewrite(store: MapStore, columns: list[str], moved: DataFrame, count: int)
     """Replace moved ids in a map's rows; edges between values that met, if any."""
     folder = store.folder
     old = store.read(store.base, store.delta).withColumn("_new", F.lit(False))
-    rows = old.unionByName(store.read(store.fresh).withColumn("_new", F.lit(True)))
-    before = F.struct(*columns)
-    rows = rows.withColumn("_was", before)
+    rows = old.unionByName(store.read(store.fresh).withColumn("_new", F.lit(True))) if store.fresh else old
+    rows = rows.withColumn("_was", F.struct(*columns))
     for c in columns:
-        rows = _replaced(rows, c, moved, count)
+        rows = replaced(rows, c, moved, count)
     rows = rows.withColumn("changed", F.col("_new") | (F.col("_was") != F.struct(*columns))).select(*store.args, "out", "changed")
-    met = rows.groupBy(*store.args).agg(F.min("out").alias("out"), F.max("out").alias("_most"), F.max("changed").alias("changed")) if store.args else rows.agg(
-        F.min("out").alias("out"), F.max("out").alias("_most"), F.max("changed").alias("changed")
-    )
+    met = rows.groupBy(*store.args).agg(F.min("out").alias("out"), F.max("out").alias("_most"), F.max("changed").alias("changed"))
+    if not store.args:
+        met = met.where("out is not null")
     path = folder.write(met.select(*store.args, "out", (F.col("_most") != F.col("out")).alias("_met"), "changed"), "changed")
     schema = f"{''.join(f'{a} long, ' for a in store.args)}out long, _met boolean, changed boolean"
     done = folder.spark.read.schema(schema).parquet(path)
     counts = {r["changed"]: (r["n"], r["m"]) for r in done.groupBy("changed").agg(F.count("*").alias("n"), F.max("_met").alias("m")).collect()}
-    conflict = None
-    if any(m for _, m in counts.values()):
-        lost = rows.join(done.where("_met").select(*store.args, F.col("out").alias("_kept")), store.args).where("out <> _kept")
-        conflict = folder.spark.read.schema("a long, b long").parquet(folder.write(lost.select(F.col("out").alias("a"), F.col("_kept").alias("b")).distinct()))
     store.replace(path, counts.get(False, (0, 0))[0], counts.get(True, (0, 0))[0])
-    return conflict
+    if not any(m for _, m in counts.values()):
+        return None
+    # parts are never overwritten, so these edges may be computed when they are needed
+    kept = done.where("_met").select(*store.args, F.col("out").alias("_kept"))
+    lost = (rows.join(kept, store.args) if store.args else rows.crossJoin(kept)).where("out <> _kept")
+    return lost.select(F.col("out").alias("a"), F.col("_kept").alias("b")).distinct()

@@ -1,12 +1,9 @@
 import random
 
-import pytest
+from koine.operators.components import components, on_driver
 
-from koine.operators.components import components
 
-
-@pytest.mark.parametrize("driver_edges", [0, 1000])
-def test_components(spark, driver_edges):
+def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 130)] + [(200, k) for k in range(201, 230)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(30)] + [(7, 7), (7, 7)]
     up = {}
@@ -20,8 +17,9 @@ def test_components(spark, driver_edges):
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
     df = spark.createDataFrame([*edges, (None, 3), (3, None)], "a long, b long")
-    got = {r["node"]: r["root"] for r in components(df, driver_edges=driver_edges).collect()}
+    got = {r["node"]: r["root"] for r in components(df).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    assert dict(on_driver(edges)) == {x: find(x) for e in edges for x in e}
 
 
 def test_no_edges_and_strings(spark):
