@@ -28,7 +28,8 @@ from koine.sources.scratch import written
 RESOLUTION = 1000
 MAX_SOURCES = 20_000
 BLOCK_ROWS = 16
-BUCKET_ROWS = 20_000
+#: Rows of a source that are ranked together, about.
+BUCKET_ROWS = 1_000
 
 
 def apportion(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
@@ -88,19 +89,19 @@ def _placed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows
         target = {k: given.get(k, w / scale) for k, w in target.items()}
     slots = apportion(target, resolution)
     period = sum(slots.values())
-    bits = min(16, (max(found.values(), default=1) // BUCKET_ROWS).bit_length() + 2)
-    rows = rows.withColumn("bucket", F.expr(f"shiftrightunsigned(h, {64 - bits})"))
-    # at most sources x 2^bits rows
+    bits = {k: max(1, (n // BUCKET_ROWS).bit_length()) for k, n in found.items()}
+    shares = spark.createDataFrame([(k, a, bits[k]) for k, a in slots.items()], "src string, a int, bits int")  # at most MAX_SOURCES rows
+    rows = rows.join(F.broadcast(shares), "src").withColumn("bucket", F.expr("shiftrightunsigned(h, 64 - bits)"))
+    # a row per bucket
     ahead = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("src", "bucket").count().withColumn("start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
     inside = W.partitionBy("src", "bucket").orderBy("h", "id")
     ranked = rows.withColumn("in", F.row_number().over(inside) - 1).join(starts, ["src", "bucket"])
-    shares = spark.createDataFrame([(k, a) for k, a in slots.items()], "src string, a int")
     period_table = spark.createDataFrame([(k, j, s) for k, own in schedule(slots).items() for j, s in enumerate(own)], "src string, j int, at int")
     rank = F.col("start") + F.col("in")
     ranked = ranked.withColumn("block", F.floor(rank / block_rows)).withColumn("offset", F.pmod(rank, F.lit(block_rows)).cast("int"))
-    ranked = ranked.join(F.broadcast(shares), "src").withColumn("j", F.pmod(F.col("block"), F.col("a").cast("long")).cast("int"))
-    placed = ranked.join(F.broadcast(period_table), ["src", "j"])  # both tables are bounded by the period
+    ranked = ranked.withColumn("j", F.pmod(F.col("block"), F.col("a").cast("long")).cast("int"))
+    placed = ranked.join(F.broadcast(period_table), ["src", "j"])  # as many rows as the period has slots
     slot = F.floor(F.col("block") / F.col("a")) * F.lit(period).cast("long") + F.col("at")
     return placed.select("row", "block", slot.cast("long").alias("slot"), "offset")
 
