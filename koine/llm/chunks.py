@@ -31,7 +31,7 @@ class Ranges:
 
     def __init__(self, low: int, high: int, bounds: list[int], parts: int):
         inner = sorted({b for b in bounds if low < b <= high})
-        self.edges = np.array([low, *inner, high + 1], dtype=np.int64)
+        self.edges = np.array([low, *inner, min(high + 1, (1 << 63) - 1)], dtype=np.int64)
         self.parts = parts
 
     @property
@@ -40,9 +40,10 @@ class Ranges:
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         r = np.clip(np.searchsorted(self.edges, ids, side="right") - 1, 0, len(self.edges) - 2)
-        low, high = self.edges[r], self.edges[r + 1]
-        part = ((ids - low).astype(np.float64) / (high - low) * self.parts).astype(np.int64)
-        return r * self.parts + np.clip(part, 0, self.parts - 1)
+        # in floating point, where ids far apart do not overflow; rounding keeps the order
+        low, high = self.edges[r].astype(np.float64), self.edges[r + 1].astype(np.float64)
+        part = (ids.astype(np.float64) - low) / np.maximum(high - low, 1.0) * self.parts
+        return r * self.parts + np.clip(part, 0, self.parts - 1).astype(np.int64)
 
 
 def text_size(docs: DataFrame, text_col: str) -> tuple[int, int]:

@@ -157,3 +157,14 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
     assert jaccard_join.near_groups(empty).count() == 0 and jaccard_join.drop_near_copies(empty).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_ranges_keep_the_order_of_ids():
+    import numpy as np
+
+    from koine.llm.chunks import Ranges
+
+    far = np.array([-(1 << 63), -5, 0, 1, 2, 3, 1 << 40, (1 << 63) - 1], dtype=np.int64)
+    for r in (Ranges(int(far[0]), int(far[-1]), [0, 2, 1 << 40], 7), Ranges(0, 3, [], 2), Ranges(5, 5, [5], 3)):
+        got = r.of(far)
+        assert (np.diff(got) >= 0).all() and got.min() >= 0 and got.max() < r.chunks
