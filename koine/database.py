@@ -34,6 +34,7 @@ class Database:
         self._maps: list[MapId] = []
         self._stores: dict[int, MapStore] = {}
         self._keys: dict[int, list[DataFrame]] = {}
+        self._named: dict[int, dict[int, str]] = {}
         self._fresh_keys = 0
         #: Rows created on the driver, by map and arguments; those not yet in a part.
         self._known: dict[tuple[int, tuple[int, ...]], int] = {}
@@ -89,7 +90,7 @@ class Database:
             value = integer_id(type_id.index, int(key))
         else:
             value = named_id(type_id.index, str(key))
-            self._keys.setdefault(type_id.index, []).append(self.spark.createDataFrame([(value, str(key))], "term_id long, key string"))
+            self._named.setdefault(type_id.index, {})[value] = str(key)
         self._types_of[value] = type_id
         return TermId(self.id, value, type_id)
 
@@ -233,7 +234,9 @@ class Database:
         self._buffer = {}
 
     def keys(self, type_id: TypeId, column: str = "term_id") -> DataFrame | None:
-        frames = self._keys.get(type_id.index)
+        frames = list(self._keys.get(type_id.index, []))
+        if named := self._named.get(type_id.index):
+            frames.append(self.spark.createDataFrame(list(named.items()), "term_id long, key string"))
         if not frames:
             return None
         out = frames[0]
@@ -261,6 +264,11 @@ class Database:
         df = store.everything().select(*[F.col(a).alias(n) for a, n in zip(store.args, names, strict=True)], *([F.col("out").alias(value)] if value else []))
         return self.decode(df, dict(zip(names, m.signature.inputs, strict=True)) | ({value: m.signature.output} if value else {}))
 
+    def count(self, m: MapId) -> int:
+        """A map's number of rows."""
+        store = self._stores[m.index]
+        return store.rows(store.base, store.delta, store.fresh) + len(self._buffer.get(m.index, ()))
+
     def raw(self, m: MapId) -> DataFrame:
         """A map's rows as ids."""
         self.flush()
