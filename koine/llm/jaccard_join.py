@@ -353,3 +353,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+g AS (SELECT doc_id, n, j, list(word) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS k FROM x),
+s AS (SELECT DISTINCT doc_id, array_to_string(k, ' ') AS k FROM g WHERE len(k) = 5 OR n < 5 AND j = 1),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM i JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+p(node, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, p.root FROM p JOIN e ON p.node = e.a)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, root AS component_id
+FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT node, min(root) AS root FROM p GROUP BY node) ON node = d.doc_id
+"""

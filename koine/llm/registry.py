@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filter": url_filter.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
 }

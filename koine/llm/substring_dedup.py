@@ -226,3 +226,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+g AS (SELECT r, doc_id, j, list(word) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM x),
+k AS (SELECT r, doc_id, j, array_to_string(k, ' ') AS k FROM g WHERE len(k) = 13),
+f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+c AS (SELECT DISTINCT r, unnest(range(j, j + 13)) AS j FROM k JOIN f USING (k) WHERE first < doc_id),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS t FROM x ANTI JOIN c USING (r, j) GROUP BY r),
+gone AS (SELECT r, count(*) AS n FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
