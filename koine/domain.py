@@ -72,8 +72,8 @@ class Domain:
             made, unions = apply_actions(rule, found, stores, roots)
             for m, rows in made:
                 inserts.setdefault(m.index, []).append(rows)
-            # parts are never overwritten, so unions may be computed in the rebuild
-            edges += [(u.distinct(), t.index) for u, t in zip(unions, types, strict=True)]
+            # parts are never overwritten, so unions can be computed in the rebuild
+            edges += [(u, t.index) for u, t in zip(unions, types, strict=True)]
         first = not self._unconditional_done
         self._unconditional_done = True
         for index, rows in inserts.items():

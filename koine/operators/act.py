@@ -10,6 +10,10 @@ from koine.functions.ids import MapId, TermId, term_column
 from koine.plans.compile import CompiledRule, Ref
 from koine.sources.store import MapStore
 
+#: Rows of a map up to which it is simply joined, and candidates up to which they are broadcast to a larger one.
+SMALL_MAP = 1_000_000
+BROADCAST_ROWS = 200_000
+
 
 def column(ref: Ref, roots: Mapping[int, int]) -> Column:
     if isinstance(ref, TermId):
@@ -52,6 +56,13 @@ def insert(store: MapStore, rows: list[DataFrame]) -> int:
     for r in rows[1:]:
         all_rows = all_rows.unionByName(r)
     absent = all_rows.distinct()
-    if store.rows(store.base, store.delta, store.fresh):
-        absent = absent.join(store.everything().select(*store.args), store.args, "left_anti")
+    held = store.rows(store.base, store.delta, store.fresh)
+    if held:
+        there = store.everything().select(*store.args)
+        if held > SMALL_MAP:
+            # few candidates go to the map's rows, not the map's rows through a shuffle to them
+            absent = store.folder.spark.read.schema(absent.schema).parquet(store.folder.write(absent))
+            if absent.count() <= BROADCAST_ROWS:
+                there = there.join(F.broadcast(absent), store.args, "left_semi")
+        absent = absent.join(there, store.args, "left_anti")
     return store.add(absent.withColumn("out", term_column(store.map.index, [F.col(a) for a in store.args])))

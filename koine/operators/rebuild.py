@@ -108,13 +108,16 @@ def _unite(edges: list[DataFrame], roots: Roots) -> Moved:
     all_edges = edges[0]
     for e in edges[1:]:
         all_edges = all_edges.unionByName(e)
-    linked = roots.canonical(all_edges.select("a", "b"), ["a", "b"]).where("a <> b")
+    spark = roots.folder.spark
+    linked = roots.canonical(all_edges.select("a", "b"), ["a", "b"]).where("a <> b").distinct()
+    # written once: what the edges come from may be a large join
+    linked = spark.read.schema("a long, b long").parquet(roots.folder.write(linked))
     few = linked.limit(DRIVER_EDGES + 1).collect()
     if len(few) <= DRIVER_EDGES:
         rows = [(x, r) for x, r in on_driver([(e["a"], e["b"]) for e in few]) if x != r]
         return Moved(rows, None, len(rows))
     path = roots.folder.write(components(linked).where("node <> root").select(F.col("node").alias("term_id"), "root"))
-    return Moved(None, path, roots.folder.spark.read.schema(_MOVED).parquet(path).count())
+    return Moved(None, path, spark.read.schema(_MOVED).parquet(path).count())
 
 
 def rebuild(stores: list[MapStore], roots: Roots, edges: list[tuple[DataFrame, int]]) -> int:
@@ -160,7 +163,7 @@ def _rewrite(store: MapStore, columns: list[str], moved: DataFrame, count: int)
     store.replace(path, counts.get(False, (0, 0))[0], counts.get(True, (0, 0))[0])
     if not any(m for _, m in counts.values()):
         return None
-    # parts are never overwritten, so these edges may be computed when they are needed
+    # parts are never overwritten, so these edges can be computed when they are needed
     kept = done.where("_met").select(*store.args, F.col("out").alias("_kept"))
     lost = (rows.join(kept, store.args) if store.args else rows.crossJoin(kept)).where("out <> _kept")
-    return lost.select(F.col("out").alias("a"), F.col("_kept").alias("b")).distinct()
+    return lost.select(F.col("out").alias("a"), F.col("_kept").alias("b"))

@@ -84,9 +84,10 @@ class MapStore:
 
     def end(self) -> None:
         self.base, self.delta = self.base + self.delta, []
-        if len(self.base) > MAX_PARTS:
-            n = self.rows(self.base)
-            self.base = [(self.folder.write(self.old()), n)]
+        if len(self.base) > MAX_PARTS:  # all but the largest, so a row is rewritten a logarithmic number of times
+            largest = max(self.base, key=lambda p: p[1])
+            rest = [p for p in self.base if p is not largest]
+            self.base = [largest, (self.folder.write(self.read(rest)), self.rows(rest))]
 
     def restart(self) -> None:
         """All rows count as new."""

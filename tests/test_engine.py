@@ -372,3 +372,15 @@ def test_many_unions_run_in_spark(db, monkeypatch):
     for bound in ("DRIVER_EDGES", "BROADCAST_ROWS", "SMALL_MAP"):
         monkeypatch.setattr(rebuild, bound, 0)
     test_random_worlds_against_the_naive_evaluator(db, 1)
+
+
+def test_candidates_go_to_a_large_map(db, monkeypatch):
+    from koine.operators import act
+    from koine.sources import store
+
+    monkeypatch.setattr(act, "SMALL_MAP", 5)
+    monkeypatch.setattr(store, "MAX_PARTS", 2)
+    edges = [(a, a + 1) for a in range(12)]
+    names = graph(db, edges)
+    Domain(db, [parse_rule(r, names) for r in ["edge('x, 'y) -> path('x, 'y)", "edge('x, 'y), path('y, 'z) -> path('x, 'z)"]]).saturate()
+    assert paths(db, names) == closed(edges) and db.count(names["path"]) == len(closed(edges))
