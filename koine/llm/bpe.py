@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from koine.llm.tables import table
-from koine.llm.text import slices, strings
+from koine.llm.text import releasing, slices, strings
 
 #: Longest text encoded in one piece, and longest run without a place to cut, in characters.
 PIECE = 16_384
@@ -176,7 +176,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from koine.llm.text import pack_rows, strings, unpack_rows
+from koine.llm.text import pack_rows, releasing, strings, unpack_rows
 
 #: Raw text in a chunk, and what a task holds before it packs.
 CHUNK_BYTES = 4 << 20
@@ -92,7 +92,7 @@ def packed(docs: DataFrame, chunk_of: Callable[[pa.RecordBatch], tuple[np.ndarra
         if pending:
             yield from flush()
 
-    return docs.mapInArrow(run, "chunk int, pack binary")
+    return docs.mapInArrow(releasing(run), "chunk int, pack binary")
 
 
 def unpacked(packs: pa.ChunkedArray | pa.Array) -> pa.Table:

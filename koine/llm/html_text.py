@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from koine.llm.tables import table
+from koine.llm.text import releasing
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -254,7 +255,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                     ["page_id", "url", "text", "n_chars"],
                 )
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(id_col, url_col, html_col).mapInArrow(releasing(run), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

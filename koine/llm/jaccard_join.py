@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from koine.llm.chunks import CHUNK_BYTES, packed, text_of, text_size, unpacked
 from koine.llm.tables import table
-from koine.llm.text import U, combine, mix, pack_bytes, pack_sorted, slices, strings, unpack_bytes, unpack_sorted, words
+from koine.llm.text import combine, mix, pack_bytes, pack_sorted, releasing, releasing_cogroup, releasing_group, slices, strings, U, unpack_bytes, unpack_sorted, words
 from koine.operators.components import components
 from koine.sources.scratch import written
 
@@ -153,7 +153,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 d1, d2 = set_digests(fp, first)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(np.diff(first)), pa.array(d1), pa.array(d2)], ["doc_id", "n_shingles", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(releasing(run), "doc_id long, n_shingles long, d1 long, d2 long")
 
 
 def _candidates(docs: DataFrame, chunks: int, groups: int) -> DataFrame:
@@ -207,9 +207,9 @@ def _candidates(docs: DataFrame, chunks: int, groups: int) -> DataFrame:
         answers = {g: unpack_bytes(b, n) for g, n, b in zip(*(right[x].to_pylist() for x in ("grp", "n", "bucket")), strict=True)}
         return Classes(left["pack"], groups).index(answers)
 
-    told = packs.groupBy("chunk").applyInArrow(tell, "chunk int, grp int, n int, blob binary, df binary")
-    counted = told.groupBy("grp").applyInArrow(count, "chunk int, grp int, n int, bucket binary")
-    return packs.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(index, schema)
+    told = packs.groupBy("chunk").applyInArrow(releasing_group(tell), "chunk int, grp int, n int, blob binary, df binary")
+    counted = told.groupBy("grp").applyInArrow(releasing_group(count), "chunk int, grp int, n int, bucket binary")
+    return packs.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(releasing_cogroup(index), schema)
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def _compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     left = bodies.select(F.col("rep").alias("x"), F.col("body").alias("bx"))
     right = bodies.select(F.col("rep").alias("y"), F.col("body").alias("by"))
     both = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "bx", "by")
-    return both.mapInArrow(run, "x long, y long, nx int, ny int, common int")
+    return both.mapInArrow(releasing(run), "x long, y long, nx int, ny int, common int")
 
 
 def linked() -> str:

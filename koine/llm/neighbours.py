@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from koine.llm.tables import table
+from koine.llm.text import releasing, releasing_cogroup
 from koine.sources.scratch import written
 
 CURVES = 12
@@ -172,9 +173,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CURV
         cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
         return pa.table([cat(out[0], pa.int64()), cat(out[1], pa.int64()), cat(out[2], pa.int64()), cat(out[3], pa.float64())], names=["k1", "k2", "vec_id", "score"])
 
-    placed = rows_in.mapInArrow(deal, rows_in.select(F.lit(0).alias("curve"), F.lit(0).alias("block"), "vec_id", "vec").schema)
-    windows = queries.select("k1", "k2", "vec").mapInArrow(ask, queries.select(F.lit(0).alias("curve"), F.lit(0).alias("block"), "k1", "k2", "vec").schema)
-    found = placed.groupBy("curve", "block").cogroup(windows.groupBy("curve", "block")).applyInArrow(compare, "k1 long, k2 long, vec_id long, score double")
+    placed = rows_in.mapInArrow(releasing(deal), rows_in.select(F.lit(0).alias("curve"), F.lit(0).alias("block"), "vec_id", "vec").schema)
+    windows = queries.select("k1", "k2", "vec").mapInArrow(releasing(ask), queries.select(F.lit(0).alias("curve"), F.lit(0).alias("block"), "k1", "k2", "vec").schema)
+    found = placed.groupBy("curve", "block").cogroup(windows.groupBy("curve", "block")).applyInArrow(releasing_cogroup(compare), "k1 long, k2 long, vec_id long, score double")
     merged = found.groupBy("k1", "k2", "vec_id").agg(F.min("score").alias("score"))
     best = merged.withColumn("r", F.row_number().over(W.partitionBy("k1", "k2").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).drop("r")
     own = asked.select("k1", "k2", F.col("vec_id").alias("query_id")).distinct()
@@ -193,7 +194,7 @@ def _fit_scale(rows: DataFrame, curve: Curves, dim: int) -> None:
                 [pa.array(np.arange(y.shape[1]), pa.int32()), pa.array(np.full(y.shape[1], len(y)), pa.int64()), pa.array(y.sum(axis=0)), pa.array((y**2).sum(axis=0))], ["p", "n", "s", "ss"]
             )
 
-    got = rows.mapInArrow(sums, "p int, n long, s double, ss double").groupBy("p").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).orderBy("p").collect()
+    got = rows.mapInArrow(releasing(sums), "p int, n long, s double, ss double").groupBy("p").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).orderBy("p").collect()
     mean = np.array([r["s"] / r["n"] for r in got])
     var = np.array([r["ss"] / r["n"] for r in got]) - mean**2
     curve.mean = mean.reshape(curve.mean.shape)
@@ -210,7 +211,7 @@ def _fit_bounds(rows: DataFrame, curve: Curves, dim: int, blocks: int) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c), pa.int32()), pa.array(k[:, c])], ["curve", "key"])
 
     at = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    cuts = rows.mapInArrow(keys, "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", at, F.lit(max(10_000, 8 * blocks))).alias("b"))
+    cuts = rows.mapInArrow(releasing(keys), "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", at, F.lit(max(10_000, 8 * blocks))).alias("b"))
     for r in cuts.collect():
         curve.bounds[r["curve"]] = np.array(r["b"], dtype=np.int64)
 
@@ -239,7 +240,7 @@ def _fit_window(rows: DataFrame, queries: DataFrame, curve: Curves, dim: int, bl
             far = np.abs(curve.blocks(x) - curve.blocks(q[i : i + 1])).min(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), i), pa.int32()), pa.array(ids, pa.int64()), pa.array(d), pa.array(far, pa.int32())], ["i", "vec_id", "d", "far"])
 
-    best = rows.mapInArrow(exact, "i int, vec_id long, d double, far int").withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("d", "vec_id")))
+    best = rows.mapInArrow(releasing(exact), "i int, vec_id long, d double, far int").withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("d", "vec_id")))
     far = np.sort([r["far"] for r in best.where((F.col("r") > 1) & (F.col("r") <= k + 1)).select("far").collect()])
     return int(far[min(len(far) - 1, int(np.ceil(target * len(far))))]) if len(far) else blocks
 

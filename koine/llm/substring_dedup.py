@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from koine.llm.chunks import CHUNK_BYTES, id_ranges, packed, text_of, text_size, unpacked
 from koine.llm.tables import table
-from koine.llm.text import U, Words, buffers, combine, mix, pack_bytes, pack_sorted, slices, strings, unpack_bytes, unpack_sorted, words
+from koine.llm.text import buffers, combine, mix, pack_bytes, pack_sorted, releasing, releasing_cogroup, releasing_group, slices, strings, U, unpack_bytes, unpack_sorted, Words, words
 from koine.sources.scratch import written
 
 WINDOW = 13
@@ -75,7 +75,7 @@ def heavy_prefixes(docs: DataFrame, text_col: str, groups: int, window: int) ->
                     [pa.array(depth, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)), pa.array(np.concatenate(count).astype(np.int64))], ["d", "p", "n"]
                 )
 
-    counts = written(docs.select(text_col).mapInArrow(run, "d int, p long, n long").groupBy("d", "p").agg(F.sum("n").alias("n")), "prefixes")
+    counts = written(docs.select(text_col).mapInArrow(releasing(run), "d int, p long, n long").groupBy("d", "p").agg(F.sum("n").alias("n")), "prefixes")
     total = counts.where("d = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     got = counts.where((F.col("d") > 0) & (F.col("n") > share * total)).select("d", "p").collect()
     return {d: np.sort(np.array([r["p"] for r in got if r["d"] == d], dtype=np.int64).view(U)) for d in {r["d"] for r in got}}
@@ -177,7 +177,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 w = words(text, a, z)
                 yield from _documents(text.slice(a, z - a), b.column(0).slice(a, z - a), w.first, np.zeros(len(w.hashes), bool), with_text).to_batches()
 
-    rest = unknown.mapInArrow(whole, schema)
+    rest = unknown.mapInArrow(releasing(whole), schema)
     _, size = text_size(known, "text")
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = id_ranges(known, "doc_id", max(1, -(-size // CHUNK_BYTES), min(parallel, size >> 16)))
@@ -218,9 +218,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         answers = {g: np.unpackbits(unpack_bytes(b, n)).astype(bool) for g, n, b in zip(*(right[x].to_pylist() for x in ("grp", "n", "bits")), strict=True)}
         return _documents(c.text, pa.array(c.ids), c.first, c.covered(answers, window), with_text)
 
-    sent = packs.groupBy("chunk").applyInArrow(paths, "chunk int, grp int, n int, blob binary")
-    answers = sent.groupBy("grp").applyInArrow(merge, "chunk int, grp int, n int, bits binary")
-    done = packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
+    sent = packs.groupBy("chunk").applyInArrow(releasing_group(paths), "chunk int, grp int, n int, blob binary")
+    answers = sent.groupBy("grp").applyInArrow(releasing_group(merge), "chunk int, grp int, n int, bits binary")
+    done = packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(releasing_cogroup(apply), schema)
     return done.unionByName(rest)
 
 
