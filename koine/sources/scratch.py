@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where neither that nor a
-    checkpoint folder is set (tests on one machine) a temporary one."""
+    """This application's folder in that of ``spark.checkpoint.dir``; only where
+    neither that nor a checkpoint folder is set (tests on one machine) in a
+    temporary one."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not given:
         given = tempfile.mkdtemp(prefix="koine-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(given)
-    return given.rstrip("/")
+    return f"{given.rstrip('/')}/koine-{sc.applicationId}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -29,6 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/koine-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables this application has written; results not yet read go with them."""
+    remove(spark, shared_dir(spark))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

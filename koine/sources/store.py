@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from koine.functions.ids import MapId
-from koine.sources.scratch import shared_dir
+from koine.sources.scratch import remove, shared_dir
 
 #: Parts of one region before they are merged into one.
 MAX_PARTS = 12
@@ -24,7 +24,7 @@ class Folder:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/koine-db-{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/db-{uuid.uuid4().hex}"
         self._next = 0
 
     def write(self, df: DataFrame, partition: str | None = None) -> str:
@@ -35,9 +35,7 @@ class Folder:
         return path
 
     def remove(self) -> None:
-        sc = self.spark.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        remove(self.spark, self.path)
 
 
 class MapStore:
