@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from koine.llm.text import pack_rows, releasing, strings, unpack_rows
 
-#: Raw text in a chunk, and what a task holds before it packs.
+#: Raw text in a chunk, fingerprints in a group, and what a task holds before it packs.
 CHUNK_BYTES = 4 << 20
+GROUP_ROWS = 1 << 20
 PENDING_BYTES = 16 << 20
+#: Bytes of text per fingerprint, about, and the fewest fingerprints that a chunk should send to a group.
+WORD_BYTES = 6
+LEAST_SENT = 32
 MAX_BOUNDS = 1024
 
 
@@ -52,6 +56,22 @@ def text_size(docs: DataFrame, text_col: str) -> tuple[int, int]:
     return got["n"], got["b"]
 
 
+def layout(size: int, parallel: int) -> tuple[int, int]:
+    """Numbers of chunks and groups for ``size`` bytes of text.
+
+    Both have a fixed size up to about 130 GB.  Beyond, both sizes grow as the
+    square root of the text, so that a chunk still sends each group ``LEAST_SENT``
+    fingerprints and the exchange consists of data, not of row headers: at 100 TB
+    a chunk has some 110 MB of text and a group 30 million fingerprints, 2 to
+    3 GB of memory for a task.  Small inputs are spread over ``parallel`` tasks.
+    """
+    factor = max(1.0, (LEAST_SENT * size / (CHUNK_BYTES * GROUP_ROWS)) ** 0.5)
+    least = min(parallel, size >> 16)
+    chunks = max(1, int(-(-size // (CHUNK_BYTES * factor))), least)
+    groups = max(1, int(-(-size // (WORD_BYTES * GROUP_ROWS * factor))), 2 * least)
+    return chunks, groups
+
+
 def id_ranges(docs: DataFrame, id_col: str, chunks: int) -> Ranges | None:
     """``chunks`` or a few more ranges of about as many rows; None without ids."""
     k = min(chunks, MAX_BOUNDS)

@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from koine.llm.chunks import CHUNK_BYTES, packed, text_of, text_size, unpacked
+from koine.llm.chunks import layout, packed, text_of, text_size, unpacked
 from koine.llm.tables import table
 from koine.llm.text import combine, mix, pack_bytes, pack_sorted, releasing, releasing_cogroup, releasing_group, slices, strings, U, unpack_bytes, unpack_sorted, words
 from koine.operators.components import components
@@ -41,7 +41,6 @@ from koine.sources.scratch import written
 SHINGLE = 5
 #: A pair links at ``PERCENT`` / 100 or more.
 PERCENT = 75
-GROUP_SHINGLES = 1 << 20
 #: Pivots that a class is compared with in the first round.
 PIVOTS = 3
 
@@ -98,20 +97,19 @@ class Classes:
         self.n = np.bincount(self.owner, minlength=len(self.rep))
         # 48 bits tell a shingle's frequency well enough; comparisons use all 64
         self.token, self.where, self.df = np.unique(self.fp >> U(16), return_inverse=True, return_counts=True)
-        self.group = ((self.token >> U(16)) * U(groups) >> U(32)).astype(np.int32)
-        self.cuts = np.searchsorted(self.group, np.arange(groups + 1))
+        group = ((self.token >> U(16)) * U(groups) >> U(32)).astype(np.int32)
+        present, at = np.unique(group, return_index=True)
+        self.cuts = {int(g): (int(a), int(z)) for g, a, z in zip(present, at, [*at[1:], len(self.token)], strict=True)}
 
-    def parts(self, groups: int):
-        for g in range(groups):
-            a, z = self.cuts[g], self.cuts[g + 1]
-            if z > a:
-                yield g, self.token[a:z], self.df[a:z]
+    def parts(self):
+        for g, (a, z) in self.cuts.items():
+            yield g, self.token[a:z], self.df[a:z]
 
     def index(self, answers: dict[int, np.ndarray]) -> pa.Table:
         """Classes with a shared shingle in their prefix."""
         bucket = np.zeros(len(self.token), dtype=np.uint8)
         for g, own in answers.items():
-            bucket[self.cuts[g] : self.cuts[g + 1]] = own
+            bucket[slice(*self.cuts[g])] = own
         b = bucket[self.where]
         order = np.lexsort((self.fp, b, self.owner))
         first = np.concatenate([[0], np.cumsum(self.n)])
@@ -181,7 +179,7 @@ def _candidates(docs: DataFrame, chunks: int, groups: int) -> DataFrame:
     packs = packed(docs, chunk_of)
 
     def tell(key, rows):
-        got = [(key[0].as_py(), g, len(t), pack_sorted(t), pack_bytes(np.minimum(df, 255))) for g, t, df in Classes(rows["pack"], groups).parts(groups)]
+        got = [(key[0].as_py(), g, len(t), pack_sorted(t), pack_bytes(np.minimum(df, 255))) for g, t, df in Classes(rows["pack"], groups).parts()]
         c, g, n, blob, df = zip(*got, strict=True) if got else ((),) * 5
         return pa.table([pa.array(c, pa.int32()), pa.array(g, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary()), pa.array(df, pa.binary())], names=["chunk", "grp", "n", "blob", "df"])
 
@@ -258,8 +256,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     _, size = text_size(docs, "text")
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(1, -(-size // CHUNK_BYTES), min(parallel, size >> 16))
-    groups = max(1, -(-size // (6 * GROUP_SHINGLES)), min(2 * parallel, size >> 16))
+    chunks, groups = layout(size, parallel)
     found = written(_candidates(docs, chunks, groups), "classes")
     bodies = found.select("rep", "body")
     # size blocks: partners differ by at most a factor of 100 / PERCENT

@@ -31,14 +31,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from koine.llm.chunks import CHUNK_BYTES, id_ranges, packed, text_of, text_size, unpacked
+from koine.llm.chunks import id_ranges, layout, packed, text_of, text_size, unpacked
 from koine.llm.tables import table
 from koine.llm.text import buffers, combine, mix, pack_bytes, pack_sorted, releasing, releasing_cogroup, releasing_group, slices, strings, U, unpack_bytes, unpack_sorted, Words, words
 from koine.sources.scratch import written
 
 WINDOW = 13
-#: Windows in a group, about.
-GROUP_WINDOWS = 1 << 20
+MAX_SHARES = 1 << 16
 #: Occurrences in a slice of text below which a prefix is not counted.
 SLICE_LEAST = 24
 
@@ -48,11 +47,12 @@ def _prefix(w: Words, at: np.ndarray, depth: int) -> np.ndarray:
 
 
 def heavy_prefixes(docs: DataFrame, text_col: str, groups: int, window: int) -> dict[int, np.ndarray]:
-    """By length, the prefixes with more than 1 / (4 ``groups``) of all suffixes:
-    at most 4 ``groups`` of each length, counted over the whole corpus (a slice
+    """By length, the prefixes with more than 1 / (4 ``groups``) of all suffixes
+    (of ``MAX_SHARES`` groups at most, so that no more than four times as many
+    are listed of a length, whatever the input), counted over the whole corpus (a slice
     of text leaves out those with less than half of that share in it, or a
     handful of occurrences, which cannot make a group too large)."""
-    share = 1.0 / (4 * groups)
+    share = 1.0 / (4 * min(groups, MAX_SHARES))
 
     def run(batches):
         for b in batches:
@@ -180,10 +180,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rest = unknown.mapInArrow(releasing(whole), schema)
     _, size = text_size(known, "text")
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = id_ranges(known, "doc_id", max(1, -(-size // CHUNK_BYTES), min(parallel, size >> 16)))
+    chunks, groups = layout(size, parallel)
+    ranges = id_ranges(known, "doc_id", chunks)
     if ranges is None:
         return rest
-    groups = max(1, -(-size // (6 * GROUP_WINDOWS)), min(2 * parallel, size >> 16))
     heavy = heavy_prefixes(known, "text", groups, window)
 
     def chunk_of(b: pa.RecordBatch):

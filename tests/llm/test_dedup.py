@@ -168,3 +168,12 @@ def test_ranges_keep_the_order_of_ids():
     for r in (Ranges(int(far[0]), int(far[-1]), [0, 2, 1 << 40], 7), Ranges(0, 3, [], 2), Ranges(5, 5, [5], 3)):
         got = r.of(far)
         assert (np.diff(got) >= 0).all() and got.min() >= 0 and got.max() < r.chunks
+
+
+def test_layout_grows_with_the_square_root():
+    from koine.llm.chunks import layout
+
+    assert layout(0, 8) == (1, 1) and layout(100, 8) == (1, 1) and layout(1 << 24, 8) == (8, 16)
+    assert layout(10**11, 8) == (23842, 15895)
+    chunks, groups = layout(170 * 10**12, 1000)
+    assert chunks * groups * 32 <= 170 * 10**12 / 6 * 1.1 and 10**5 < chunks < 10**7
