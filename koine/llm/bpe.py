@@ -4,8 +4,8 @@ Texts are encoded in batches by the ``tokenizers`` library.  A long text is
 halved at places where the pre-tokeniser always cuts (a space after a character
 that is no white space), so its parts are encoded on their own and concatenate
 exactly.  Where a text has no such place, a long unsplit run, the run itself is
-halved down to leaves; leaves are encoded on their own, and at every join of
-the tree a window around the seam is encoded again and grows until its first
+halved down to leaves; leaves are encoded on their own, in one batch, and at
+every join of the tree a window around the seam is encoded again and grows until its first
 token equals the left side's and its last token the right side's.  Adjacent
 tokens then are pairs that the merges produce, on both sides and inside the
 window, which makes the sequence the encoding of the whole run.
@@ -53,17 +53,21 @@ def concatenate(left: Tokens, right: Tokens, encode: Callable[[str], Tokens]) ->
         i, j = i * (1 if left_agrees else 2), j * (1 if right_agrees else 2)
 
 
-def encode_run(run: str, encode: Callable[[str], Tokens], leaf: int = LEAF) -> Tokens:
-    """Encode a run (in the byte alphabet) that is not split before the merges:
-    leaves first, then level by level joins of neighbours."""
-    level = [encode(run[k : k + leaf]) for k in range(0, len(run), leaf)]
+def encode_run(run: str, leaves: Callable[[list[str]], list[Tokens]], encode: Callable[[str], Tokens], leaf: int = LEAF) -> Tokens:
+    """Encode a run that is not split before the merges: all leaves in one
+    batch, then level by level joins of neighbours.  ``leaves`` takes pieces of
+    text, ``encode`` a window in the byte alphabet."""
+    level = leaves([run[k : k + leaf] for k in range(0, len(run), leaf)])
     while len(level) > 1:
         level = [concatenate(*level[k : k + 2], encode) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
     return level[0] if level else []
 
 
 class Codec:
-    """Encoder and decoder for the tokenizer file at ``path``."""
+    """Encoder and decoder for the tokenizer file at ``path``.
+
+    Batches, of pieces and of leaves, are encoded in parallel if the environment
+    sets TOKENIZERS_PARALLELISM (for tasks of several cores)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -79,6 +83,9 @@ class Codec:
     def _merges(self, run: str) -> Tokens:
         return [(x.id, x.value) for x in self.tokenizer.model.tokenize(run)]
 
+    def _leaves(self, pieces: list[str]) -> list[Tokens]:
+        return [list(zip(e.ids, e.tokens, strict=True)) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+
     def _unsplit(self, text: str) -> list[int]:
         """A text with a long unsplit run, pre-token by pre-token."""
         out: list[int] = []
@@ -87,10 +94,11 @@ class Codec:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            for mapped, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part) if part else ():
+            for mapped, (a, z) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part) if part else ():
                 ids = seen.get(mapped)
                 if ids is None:
-                    ids = [i for i, _ in (encode_run(mapped, self._merges) if len(mapped) > RUN else self._merges(mapped))]
+                    tokens = encode_run(part[a:z], self._leaves, self._merges) if len(mapped) > RUN else self._merges(mapped)
+                    ids = [i for i, _ in tokens]
                     if len(mapped) < 64:
                         seen[mapped] = ids
                 out += ids
