@@ -19,11 +19,12 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from koine.llm.tables import table
-from koine.llm.text import releasing, slices, strings
+from koine.llm.text import SPACE, buffers, releasing, slices, strings
 
 #: Longest text encoded in one piece, and longest run without a place to cut, in characters.
 PIECE = 16_384
@@ -32,12 +33,26 @@ RUN = 1_024
 LEAF = 256
 BATCH_BYTES = 512 << 10
 _CUT = re.compile(r"(?<=\S) ")
-_LONG_RUN = re.compile(rf"\S{{{RUN},}}|\s{{{RUN},}}")
 
 
 Tokens = list[tuple[int, str]]
 
 
+def long_runs(text: pa.Array, run: int = RUN) -> np.ndarray:
+    """Which texts have ``run`` bytes or more on end that are all ASCII white
+    space or all not: a run without a place to cut is among them."""
+    data, offsets = buffers(text)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    space = SPACE[data]
+    start = np.zeros(len(data) + 1, dtype=bool)
+    start[1:-1] = space[1:] != space[:-1]
+    start[offsets] = True
+    at = np.flatnonzero(start)
+    out = np.zeros(len(text), dtype=bool)
+    out[np.searchsorted(offsets, at[:-1][np.diff(at) >= run], side="right") - 1] = True
+    return out
+
+
 def concatenate(left: Tokens, right: Tokens, encode: Callable[[str], Tokens]) -> Tokens:
     """The encoding of two neighbouring parts of a run from theirs."""
     if not left or not right:
@@ -113,11 +128,13 @@ class Codec:
             return [text]
         return Codec._halves(text[: cut.start()]) + Codec._halves(text[cut.start() :])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: pa.Array | list[str]) -> list[list[int]]:
+        """Token ids of each text."""
+        column = texts if isinstance(texts, pa.Array) else strings(pa.array(texts, pa.string()))
         pieces: list[str] = []
         plan: list[list[int] | tuple[int, int]] = []
-        for t in texts:
-            if len(t) >= RUN and _LONG_RUN.search(t):
+        for t, unsplit in zip(column.to_pylist(), long_runs(column), strict=True):
+            if unsplit:
                 plan.append(self._unsplit(t))
             else:
                 own = self._halves(t)
@@ -170,7 +187,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
         for batch in batches:
             doc_ids, text = batch.column(0), strings(batch.column(1))
             for at, end in slices(text, BATCH_BYTES):
-                ids = c.encode(text.slice(at, end - at).to_pylist())
+                ids = c.encode(text.slice(at, end - at))
                 decoded = c.decode(ids)
                 columns = [
                     doc_ids.slice(at, end - at).cast(pa.int64()),
