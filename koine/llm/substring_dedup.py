@@ -143,7 +143,7 @@ def _documents(text: pa.Array, ids: pa.Array, first: np.ndarray, covered: np.nda
     data, offsets = buffers(text)
     sums = np.concatenate([[0], np.cumsum(covered, dtype=np.int64)])
     removed = sums[first[1:]] - sums[first[:-1]]
-    digests, kept = [], []
+    digests, kept, spans = [], [], []
     for i in range(len(text)):
         own = data[offsets[i] : offsets[i + 1]].tobytes().split()
         if removed[i]:
@@ -152,12 +152,18 @@ def _documents(text: pa.Array, ids: pa.Array, first: np.ndarray, covered: np.nda
         digests.append(hashlib.sha256(joined).hexdigest())
         if with_text:
             kept.append(joined.decode())
+            edges = np.flatnonzero(np.diff(covered[first[i] : first[i + 1]].astype(np.int8), prepend=0, append=0))
+            spans.append([{"start": a, "end": z} for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
     columns = {"doc_id": ids.cast(pa.int64()), "n_words": pa.array(np.diff(first)), "n_removed": pa.array(removed), "kept_sha256": pa.array(digests, pa.string())}
-    return pa.table(columns | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
+    if with_text:
+        columns |= {"kept_text": pa.array(kept, pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+    return pa.table(columns)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text``) for each row.
+    """``doc_id, n_words, n_removed, kept_sha256`` for each row; with ``with_text``
+    also ``kept_text`` and ``spans``, the maximal runs of removed words as
+    ``[start, end)``.
 
     A word is removed when a run of ``window`` words around it also starts in a
     document with a smaller id.  Rows of equal id never remove each other's
@@ -166,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string, spans array<struct<start:int,end:int>>" if with_text else "")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known, unknown = rows.where("doc_id is not null"), rows.where("doc_id is null")
 

@@ -132,7 +132,9 @@ def repeats_brute(docs, window=13):
             if i is not None and first[tuple(w[k : k + window])] < i:
                 gone |= set(range(k, k + window))
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        out.append((i, len(w), len(gone), sha(kept), kept))
+        starts = [k for k in sorted(gone) if k - 1 not in gone]
+        ends = [k + 1 for k in sorted(gone) if k + 1 not in gone]
+        out.append((i, len(w), len(gone), sha(kept), kept, list(zip(starts, ends, strict=True))))
     return out
 
 
@@ -140,7 +142,7 @@ def repeats_brute(docs, window=13):
 def test_repeats(spark, seed, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SLICE_LEAST", 2)  # heavy prefixes at this size, too
     docs = corpus(seed, 80) + [(20_000 + k, "the the the of the " * 12 + f"end{k % 3}") for k in range(20)]
-    got = [tuple(r) for r in substring_dedup.remove_repeats(frame(spark, docs), with_text=True).collect()]
+    got = [(*r[:5], [(s["start"], s["end"]) for s in r["spans"]]) for r in substring_dedup.remove_repeats(frame(spark, docs), with_text=True).collect()]
     assert sorted(got, key=str) == sorted(repeats_brute(docs), key=str)
 
 
