@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ LISTED = HEADINGS | frozenset("li pre blockquote td th dd dt figcaption caption"
 CONTAINERS = frozenset("article main section div td body html".split())
 #: Start tags that end an open element of the listed kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+BARRIERS = frozenset("ul ol table dl select".split())
 ROOTS = frozenset("html body main article".split())
 ROLES = re.compile(r"^(navigation|banner|contentinfo|complementary|search|form|alert|alertdialog|dialog|menu|menubar|toolbar)$")
 _WORD = (
@@ -54,14 +55,25 @@ CONTAINED = 0.9
 
 
 class Node:
-    """A run of text: its block, its element, and the block element's path."""
+    """A run of text: its block, the block element around it and that one's path."""
 
     __slots__ = ("text", "block", "element", "path", "leaf", "link")
 
-    def __init__(self, text, block, element, path, leaf, link):
+    def __init__(self, text: str, block: int, element: int, path: int, leaf: str, link: bool):
         self.text, self.block, self.element, self.path, self.leaf, self.link = text, block, element, path, leaf, link
 
 
+class _Open:
+    """An open element, with what it takes from those around it."""
+
+    __slots__ = ("tag", "number", "furniture", "article", "link", "block")
+
+    def __init__(self, tag: str, number: int, furniture: bool, article: bool, link: bool, block: tuple[int, int, str]):
+        self.tag, self.number, self.furniture, self.article, self.link = tag, number, furniture, article, link
+        #: Number, path and tag of the block element here or around.
+        self.block = block
+
+
 def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in FURNITURE and not (tag == "header" and in_article):
         return True
@@ -79,22 +91,36 @@ def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 def parse(page: str) -> tuple[list[Node], list[int], list[str]]:
-    """Text nodes outside furniture in page order; each element's parent and tag."""
+    """Text nodes outside furniture in page order; each element's parent and tag.
+
+    Each tag costs the elements it closes, however deep the page is nested.
+    """
     nodes: list[Node] = []
     parent, tags = [-1], [""]
-    # (tag, element number, furniture around or here)
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    paths: dict[tuple[int, str], int] = {}
+    stack = [_Open("", 0, False, False, False, (0, 0, ""))]
+    opened: Counter[str] = Counter()
     block, at, size = 0, 0, len(page)
     lower = None
 
     def push(text: str) -> None:
-        if text and not stack[-1][2]:
-            blocks = [s for s in stack if s[0] not in INLINE]
-            nodes.append(Node(text, block, blocks[-1][1], "/".join(s[0] for s in blocks), blocks[-1][0], any(s[0] == "a" for s in stack)))
+        top = stack[-1]
+        if text and not top.furniture:
+            nodes.append(Node(text, block, top.block[0], top.block[1], top.block[2], top.link))
 
     def pop_to(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag] -= 1
         del stack[k:]
 
+    def nearest(wanted: Callable[[str], bool], stop: Callable[[str], bool] = lambda t: False) -> int:
+        for k in range(len(stack) - 1, 0, -1):
+            if wanted(stack[k].tag):
+                return k
+            if stop(stack[k].tag):
+                return 0
+        return 0
+
     while at < size:
         m = _TOKEN.search(page, at)
         if not m:
@@ -106,14 +132,14 @@ def parse(page: str) -> tuple[list[Node], list[int], list[str]]:
         if not tag:
             continue
         tag = tag.lower()
+        inline = tag in INLINE
         if m["tag"] and m["end"] or m["tag2"] and m["end2"]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if tag in INLINE:
-                if k:
+            block += not inline
+            if opened[tag] > 0 and (k := nearest(lambda t: t == tag)):
+                if inline:  # elements opened inside stay open
+                    opened[tag] -= 1
                     del stack[k]
-            else:
-                block += 1
-                if k:
+                else:
                     pop_to(k)
             continue
         if tag in RAW:
@@ -124,39 +150,29 @@ def parse(page: str) -> tuple[list[Node], list[int], list[str]]:
                 break
             gt = page.find(">", close)
             at = size if gt < 0 else gt + 1
-            if tag not in ("textarea", "title"):
-                continue
-            block += 1
+            block += tag in ("textarea", "title")
             continue
-        if tag not in INLINE:
-            block += 1
+        block += not inline
         if tag in VOID:
             continue
-        if tag not in INLINE and not tag == "body":
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] not in INLINE), 0)
-            if k and stack[k][0] == "p":
+        if tag == "body":
+            if opened["head"] > 0:
+                pop_to(nearest(lambda t: t == "head"))
+        elif not inline:
+            if opened["p"] > 0 and (k := nearest(lambda t: t not in INLINE)) and stack[k].tag == "p":
                 pop_to(k)
-            if tag in ENDS:
-                barrier = {"ul", "ol", "table", "dl", "select"}
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in barrier:
-                        break
-                    if stack[k][0] in ENDS[tag]:
-                        pop_to(k)
-                        break
-            if tag in ("article", "main", "section", "div") and len(stack) > 1 and stack[-1][0] == "head":
-                pop_to(len(stack) - 1)
-        elif tag == "body":
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "head"), 0)
-            if k:
+            ends = ENDS.get(tag, ())
+            if any(opened[t] > 0 for t in ends) and (k := nearest(lambda t: t in ends, BARRIERS.__contains__)):
                 pop_to(k)
+            if stack[-1].tag == "head" and tag in ("article", "main", "section", "div", "p"):
+                pop_to(len(stack) - 1)
         attrs = m["attrs"] if m["tag"] else m["attrs2"]
-        if attrs.endswith("/") and tag in ("p", "div", "span", "a", "i"):
-            attrs = attrs[:-1]
-        parent.append(stack[-1][1])
+        top, number = stack[-1], len(parent)
+        parent.append(top.number)
         tags.append(tag)
-        furniture = stack[-1][2] or _is_furniture(tag, attrs, any(s[0] in ("article", "main") for s in stack))
-        stack.append((tag, len(parent) - 1, furniture))
+        own = top.block if inline else (number, paths.setdefault((top.block[1], tag), len(paths) + 1), tag)
+        opened[tag] += 1
+        stack.append(_Open(tag, number, top.furniture or _is_furniture(tag, attrs, top.article), top.article or tag in ("article", "main"), top.link or tag == "a", own))
     return nodes, parent, tags
 
 
@@ -201,17 +217,15 @@ def content(blocks: list[tuple[str, Node]], parent: list[int], tags: list[str])
     most = max(strength.values())
     chosen = {p for p in length if above[p] >= 0.5 * length[p] and strength[p] >= 0.05 * most}
     # characters of chosen text under each element; the deepest that holds nearly all is the article
-    under: dict[int, float] = defaultdict(float)
+    under = [0.0] * len(parent)
     for t, n in blocks:
         if n.path in chosen:
-            e = n.element
-            while e >= 0:
-                under[e] += len(t)
-                e = parent[e]
-    total = under.get(0, 0.0)
-    if not total:
+            under[n.element] += len(t)
+    for e in range(len(parent) - 1, 0, -1):  # parents have smaller numbers
+        under[parent[e]] += under[e]
+    if not under[0]:
         return [t for t, _ in blocks]
-    article = max(e for e, c in under.items() if c >= CONTAINED * total)
+    article = max(e for e, c in enumerate(under) if c >= CONTAINED * under[0])
     while article and tags[article] not in CONTAINERS:
         article = parent[article]
     around, e = False, article

@@ -127,6 +127,12 @@ def test_pages_of_odd_form(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize("junk", ["<div>", "<b>", "<p>", "</x>", "<li>", "<table><tr><td>", "<a href=x>", "<", "&", "<!--", "<div class='", "<p title=\"a>"])
+def test_deep_and_broken_pages_take_linear_time(junk):
+    page = f"<article><p>Some text, here. It is long enough.</p>{junk * 40_000}word, word.</article>"
+    assert isinstance(html_text.extract(page), str)
+
+
 def test_main_text_frame(spark):
     rows = [(1, None, None), (2, "u", "<p>é, x.</p>"), (2, "u", "<p>é, x.</p>"), (None, "v", "")]
     got = sorted((tuple(r) for r in html_text.main_text(pages(spark, rows)).collect()), key=str)
