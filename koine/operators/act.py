@@ -61,8 +61,9 @@ def insert(store: MapStore, rows: list[DataFrame]) -> int:
         there = store.everything().select(*store.args)
         if held > SMALL_MAP:
             # few candidates go to the map's rows, not the map's rows through a shuffle to them
-            absent = store.folder.spark.read.schema(absent.schema).parquet(store.folder.write(absent))
-            if absent.count() <= BROADCAST_ROWS:
+            path, seen = store.folder.write_counted(absent)
+            absent = store.folder.spark.read.schema(absent.schema).parquet(path)
+            if seen["n"] <= BROADCAST_ROWS:
                 there = there.join(F.broadcast(absent), store.args, "left_semi")
         absent = absent.join(there, store.args, "left_anti")
     return store.add(absent.withColumn("out", term_column(store.map.index, [F.col(a) for a in store.args])))

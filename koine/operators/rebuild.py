@@ -65,9 +65,8 @@ class Roots:
         if uf is not None:
             onward = uf.join(new.select(F.col("term_id").alias("root"), F.col("root").alias("_to")), "root", "left")
             new = onward.select("term_id", F.coalesce("_to", "root").alias("root")).unionByName(new)
-        self.path = self.folder.write(new.select("term_id", "root"))
-        self.few = None
-        self.count = self.folder.spark.read.schema(_MOVED).parquet(self.path).count()
+        self.path, seen = self.folder.write_counted(new.select("term_id", "root"))
+        self.few, self.count = None, seen["n"]
 
     def lookup(self, ids: list[int]) -> dict[int, int]:
         """Roots of some ids that the driver knows."""
@@ -111,13 +110,13 @@ def _unite(edges: list[DataFrame], roots: Roots) -> Moved:
     spark = roots.folder.spark
     linked = roots.canonical(all_edges.select("a", "b"), ["a", "b"]).where("a <> b").distinct()
     # written once: what the edges come from may be a large join
-    linked = spark.read.schema("a long, b long").parquet(roots.folder.write(linked))
-    few = linked.limit(DRIVER_EDGES + 1).collect()
-    if len(few) <= DRIVER_EDGES:
-        rows = [(x, r) for x, r in on_driver([(e["a"], e["b"]) for e in few]) if x != r]
+    path, seen = roots.folder.write_counted(linked)
+    linked = spark.read.schema("a long, b long").parquet(path)
+    if seen["n"] <= DRIVER_EDGES:
+        rows = [(x, r) for x, r in on_driver([(e["a"], e["b"]) for e in linked.collect()]) if x != r] if seen["n"] else []
         return Moved(rows, None, len(rows))
-    path = roots.folder.write(components(linked).where("node <> root").select(F.col("node").alias("term_id"), "root"))
-    return Moved(None, path, spark.read.schema(_MOVED).parquet(path).count())
+    path, seen = roots.folder.write_counted(components(linked).where("node <> root").select(F.col("node").alias("term_id"), "root"))
+    return Moved(None, path, seen["n"])
 
 
 def rebuild(stores: list[MapStore], roots: Roots, edges: list[tuple[DataFrame, int]]) -> int:
@@ -156,13 +155,12 @@ def _rewrite(store: MapStore, columns: list[str], moved: DataFrame, count: int)
     met = rows.groupBy(*store.args).agg(F.min("out").alias("out"), F.max("out").alias("_most"), F.max("changed").alias("changed"))
     if not store.args:
         met = met.where("out is not null")
-    path = folder.write(met.select(*store.args, "out", (F.col("_most") != F.col("out")).alias("_met"), "changed"), "changed")
-    schema = f"{''.join(f'{a} long, ' for a in store.args)}out long, _met boolean, changed boolean"
-    done = folder.spark.read.schema(schema).parquet(path)
-    counts = {r["changed"]: (r["n"], r["m"]) for r in done.groupBy("changed").agg(F.count("*").alias("n"), F.max("_met").alias("m")).collect()}
-    store.replace(path, counts.get(False, (0, 0))[0], counts.get(True, (0, 0))[0])
-    if not any(m for _, m in counts.values()):
+    met = met.select(*store.args, "out", (F.col("_most") != F.col("out")).alias("_met"), "changed")
+    path, seen = folder.write_counted(met, "changed", new=F.count_if(F.col("changed")), met=F.count_if(F.col("_met")))
+    store.replace(path, seen["n"] - seen["new"], seen["new"])
+    if not seen["met"]:
         return None
+    done = folder.spark.read.schema(f"{''.join(f'{a} long, ' for a in store.args)}out long, _met boolean, changed boolean").parquet(path)
     # parts are never overwritten, so these edges can be computed when they are needed
     kept = done.where("_met").select(*store.args, F.col("out").alias("_kept"))
     lost = (rows.join(kept, store.args) if store.args else rows.crossJoin(kept)).where("out <> _kept")

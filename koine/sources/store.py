@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from koine.functions.ids import MapId
 from koine.sources.scratch import remove, shared_dir
@@ -34,6 +34,12 @@ class Folder:
         (out.partitionBy(partition) if partition else out).parquet(path)
         return path
 
+    def write_counted(self, df: DataFrame, partition: str | None = None, **more: Column) -> tuple[str, dict[str, int]]:
+        """Write and count in one pass: the path, and ``n`` rows with further aggregates."""
+        seen = Observation()
+        path = self.write(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()]), partition)
+        return path, {k: v or 0 for k, v in seen.get.items()}
+
     def remove(self) -> None:
         remove(self.spark, self.path)
 
@@ -71,11 +77,10 @@ class MapStore:
 
     def add(self, df: DataFrame) -> int:
         """Append rows that are known to be absent; how many there were."""
-        path = self.folder.write(df.select(*self.args, "out"))
-        n = self.folder.spark.read.schema(self.schema).parquet(path).count()
-        if n:
-            self.fresh.append((path, n))
-        return n
+        path, seen = self.folder.write_counted(df.select(*self.args, "out"))
+        if seen["n"]:
+            self.fresh.append((path, seen["n"]))
+        return seen["n"]
 
     def begin(self) -> None:
         self.delta, self.fresh = self.fresh, []
