@@ -31,10 +31,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from koine.llm.chunks import id_ranges, layout, packed, text_of, text_size, unpacked
+from koine.llm.chunks import WORD_BYTES, id_ranges, layout, packed, text_of, text_size, unpacked
 from koine.llm.tables import table
 from koine.llm.text import buffers, combine, mix, pack_bytes, pack_sorted, releasing, releasing_cogroup, releasing_group, slices, strings, U, unpack_bytes, unpack_sorted, Words, words
-from koine.sources.scratch import written
 
 WINDOW = 13
 MAX_SHARES = 1 << 16
@@ -46,12 +45,13 @@ def _prefix(w: Words, at: np.ndarray, depth: int) -> np.ndarray:
     return combine([w.hashes[at + j] for j in range(depth)], depth)
 
 
-def heavy_prefixes(docs: DataFrame, text_col: str, groups: int, window: int) -> dict[int, np.ndarray]:
-    """By length, the prefixes with more than 1 / (4 ``groups``) of all suffixes
-    (of ``MAX_SHARES`` groups at most, so that no more than four times as many
-    are listed of a length, whatever the input), counted over the whole corpus (a slice
-    of text leaves out those with less than half of that share in it, or a
-    handful of occurrences, which cannot make a group too large)."""
+def heavy_prefixes(docs: DataFrame, text_col: str, size: int, groups: int, window: int) -> dict[int, np.ndarray]:
+    """By length, the prefixes with more than 1 / (4 ``groups``) of the suffixes
+    that ``size`` bytes of text have, counted over the whole corpus (a slice of
+    text leaves out those with less than half of that share in it, or a handful
+    of occurrences, which cannot make a group too large).  Of each length there
+    can be some 12 per group, and ``groups`` counts as ``MAX_SHARES`` at most,
+    so the list is bounded whatever the input."""
     share = 1.0 / (4 * min(groups, MAX_SHARES))
 
     def run(batches):
@@ -60,7 +60,7 @@ def heavy_prefixes(docs: DataFrame, text_col: str, groups: int, window: int) ->
             for a, z in slices(text):
                 w = words(text, a, z)
                 _, at = w.windows(window)
-                depth, prefix, count = [0], [np.zeros(1, U)], [np.array([len(at)])]
+                depth, prefix, count = [], [np.zeros(0, U)], [np.zeros(0, np.int64)]
                 least = max(SLICE_LEAST, share / 2 * len(at))
                 for d in range(1, window):
                     values, where, n = np.unique(_prefix(w, at, d), return_inverse=True, return_counts=True)
@@ -75,9 +75,8 @@ def heavy_prefixes(docs: DataFrame, text_col: str, groups: int, window: int) ->
                     [pa.array(depth, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)), pa.array(np.concatenate(count).astype(np.int64))], ["d", "p", "n"]
                 )
 
-    counts = written(docs.select(text_col).mapInArrow(releasing(run), "d int, p long, n long").groupBy("d", "p").agg(F.sum("n").alias("n")), "prefixes")
-    total = counts.where("d = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    got = counts.where((F.col("d") > 0) & (F.col("n") > share * total)).select("d", "p").collect()
+    counts = docs.select(text_col).mapInArrow(releasing(run), "d int, p long, n long").groupBy("d", "p").agg(F.sum("n").alias("n"))
+    got = counts.where(F.col("n") > share * size / WORD_BYTES).select("d", "p").collect()
     return {d: np.sort(np.array([r["p"] for r in got if r["d"] == d], dtype=np.int64).view(U)) for d in {r["d"] for r in got}}
 
 
@@ -190,7 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     ranges = id_ranges(known, "doc_id", chunks)
     if ranges is None:
         return rest
-    heavy = heavy_prefixes(known, "text", groups, window)
+    heavy = heavy_prefixes(known, "text", size, groups, window)
 
     def chunk_of(b: pa.RecordBatch):
         return ranges.of(np.asarray(b.column(0))), b
