@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from koine.sources.scratch import checkpointed
 
 MAX_ROUNDS = 100
+#: Edges in a file of a round's checkpoint, at least.
+FILE_EDGES = 100_000
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -60,6 +62,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state["n"] == 0 or state == before:
             break
         before = state
-        e = checkpointed(_small_star(_large_star(e)))
+        # few edges need few files
+        e = checkpointed(_small_star(_large_star(e)).coalesce(max(1, -(-state["n"] // FILE_EDGES))))
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
