@@ -3,30 +3,34 @@
 Alternating large-star / small-star rounds (Kiveris et al., SoCC 2014), each a
 shuffle on the node with a map-side partial ``min``.  No adjacency list is ever
 collected into one task: a hub with millions of neighbours only contributes
-``min`` aggregates and an equi-join that adaptive execution may split.
+``min`` aggregates and rows of an equi-join.  Once there are many edges, the
+minima are a table before that join, so that both its sides are plain shuffles
+and adaptive execution splits a hub's rows over tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from koine.sources.scratch import checkpointed
+from koine.sources.scratch import checkpointed, written
 
 MAX_ROUNDS = 100
-#: Edges in a file of a round's checkpoint, at least.
+#: Edges up to which a round is one small job and one file, and edges in a file beyond.
 FILE_EDGES = 100_000
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, many: bool) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    low = written(low, "minima") if many else low
     out = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, many: bool) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
+    low = written(low, "minima") if many else low
     linked = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -58,11 +62,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = checkpointed(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):
-        state = e.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
+        state = e.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if state["n"] == 0 or state == before:
             break
         before = state
-        # few edges need few files
-        e = checkpointed(_small_star(_large_star(e)).coalesce(max(1, -(-state["n"] // FILE_EDGES))))
+        many = state["n"] > FILE_EDGES
+        large = _large_star(e, many)
+        small = _small_star(checkpointed(large) if many else large, many)
+        e = checkpointed(small.coalesce(max(1, -(-state["n"] // FILE_EDGES))))
+    else:
+        raise RuntimeError(f"components have not settled in {MAX_ROUNDS} rounds")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,9 +1,13 @@
 import random
 
+import pytest
+
 from koine.operators.components import components, on_driver
 
 
-def test_components(spark):
+@pytest.mark.parametrize("file_edges", [100_000, 10])
+def test_components(spark, monkeypatch, file_edges):
+    monkeypatch.setattr("koine.operators.components.FILE_EDGES", file_edges)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 130)] + [(200, k) for k in range(201, 230)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(30)] + [(7, 7), (7, 7)]
     up = {}
