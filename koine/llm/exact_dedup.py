@@ -34,7 +34,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def tree_merge(runs: DataFrame, n_runs: int, fan: int = 8) -> DataFrame:
     """Merge ``(run, *KEY, keep_id, group_size)`` up the tree; returns
-    ``(*KEY, keep_id, group_size)``, one row per distinct text."""
+    ``(*KEY, keep_id, group_size)``, one row per distinct text.  With ``fan`` 2
+    the exchange pattern is a binomial tree's; a larger one merges more runs at
+    once and saves rounds."""
     width = 1
     while True:
         width *= fan
