@@ -1,0 +1 @@
+"""Operators that prepare training corpora; nothing else in the library imports them."""
