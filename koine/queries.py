@@ -75,11 +75,20 @@ def tc_linear(spark, sf_dir):
     return out.selectExpr("src div 1024 as conv_id", "src % 1024 as src", "dst % 1024 as dst")
 
 
-def tc_cyclic(spark, sf_dir):
-    """Closure of cycles."""
+def _cycles(spark, sf_dir, rows: str) -> DataFrame:
     c = _table(spark, sf_dir, "customer")
     n = c.count()
-    return _closure(spark, c.where("c_custkey % 3 <> 0").selectExpr("c_custkey as a", f"(7 * c_custkey + 3) % {n} as b"), CLOSURE)
+    return _closure(spark, c.where(rows).selectExpr("c_custkey as a", f"(7 * c_custkey + 3) % {n} as b"), CLOSURE)
+
+
+def tc_cyclic(spark, sf_dir):
+    """Closure of cycles, many of them broken."""
+    return _cycles(spark, sf_dir, "c_custkey % 3 <> 0")
+
+
+def tc_cyclic_all(spark, sf_dir):
+    """Closure of the cycles of all customers."""
+    return _cycles(spark, sf_dir, "true")
 
 
 def incremental(spark, sf_dir):
@@ -128,16 +137,25 @@ def join_star_skip(spark, sf_dir):
     return w.db.read(m, ["n_nationkey", "s_suppkey"])
 
 
-def triangle(spark, sf_dir):
-    """A cyclic query: directed triangles."""
+def _triangles(spark, lines: DataFrame) -> DataFrame:
     w = _World(spark, "node", "unit")
-    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49").selectExpr("l_partkey % 97 as a", "l_suppkey % 97 as b")
     w.db.load_facts(lines, w.map("r", "(node, node) -> unit"), ["a", "b"])
     m = w.map("tri", "(node, node, node) -> unit")
     w.run(["r('x, 'y), r('y, 'z), r('z, 'x) -> tri('x, 'y, 'z)"])
     return w.db.read(m, ["x", "y", "z"])
 
 
+def triangle(spark, sf_dir):
+    """A cyclic query: directed triangles of a small dense graph."""
+    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    return _triangles(spark, lines.selectExpr("l_partkey % 97 as a", "l_suppkey % 97 as b"))
+
+
+def triangle_all(spark, sf_dir):
+    """Directed triangles over the keys of all lines."""
+    return _triangles(spark, _table(spark, sf_dir, "lineitem").selectExpr("l_partkey as a", "l_suppkey as b"))
+
+
 def cross(spark, sf_dir):
     """Atoms without a shared variable."""
     w = _World(spark, "region", "unit")
@@ -168,38 +186,62 @@ def const_filter(spark, sf_dir):
     return w.db.read(m, ["n_name"])
 
 
-def repeated_var(spark, sf_dir):
-    """One variable twice in an atom."""
+def _home_trade(spark, sf_dir, rows: str) -> DataFrame:
     w = _World(spark, "nation", "unit")
     lines = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     trade = lines.join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    w.db.load_facts(trade.where("l_quantity >= 49"), w.map("trade", "(nation, nation) -> unit"), ["c_nationkey", "s_nationkey"])
+    w.db.load_facts(trade.where(rows), w.map("trade", "(nation, nation) -> unit"), ["c_nationkey", "s_nationkey"])
     m = w.map("home", "(nation) -> unit")
     w.run(["trade('n, 'n) -> home('n)"])
     return w.db.read(m, ["n_nationkey"])
 
 
-def _people(spark, sf_dir) -> _World:
+def repeated_var(spark, sf_dir):
+    """One variable twice in an atom."""
+    return _home_trade(spark, sf_dir, "l_quantity >= 49")
+
+
+def repeated_var_all(spark, sf_dir):
+    return _home_trade(spark, sf_dir, "true")
+
+
+def _people(spark, sf_dir, rows: str) -> _World:
     w = _World(spark, "nation", "unit")
-    w.db.load_facts(_table(spark, sf_dir, "customer").where("c_acctbal > 9000"), w.map("buys", "(nation) -> unit"), ["c_nationkey"])
+    w.db.load_facts(_table(spark, sf_dir, "customer").where(rows), w.map("buys", "(nation) -> unit"), ["c_nationkey"])
     w.db.load_facts(_table(spark, sf_dir, "supplier"), w.map("sells", "(nation) -> unit"), ["s_nationkey"])
     return w
 
 
-def union_rules(spark, sf_dir):
-    w = _people(spark, sf_dir)
+def _trading(spark, sf_dir, rows: str) -> DataFrame:
+    w = _people(spark, sf_dir, rows)
     m = w.map("trades", "(nation) -> unit")
     w.run(["buys('n) -> trades('n)", "sells('n) -> trades('n)"])
     return w.db.read(m, ["n_nationkey"])
 
 
-def intersect_atoms(spark, sf_dir):
-    w = _people(spark, sf_dir)
+def union_rules(spark, sf_dir):
+    return _trading(spark, sf_dir, "c_acctbal > 9000")
+
+
+def union_rules_all(spark, sf_dir):
+    return _trading(spark, sf_dir, "true")
+
+
+def _both(spark, sf_dir, rows: str) -> DataFrame:
+    w = _people(spark, sf_dir, rows)
     m = w.map("both", "(nation) -> unit")
     w.run(["buys('n), sells('n) -> both('n)"])
     return w.db.read(m, ["n_nationkey"])
 
 
+def intersect_atoms(spark, sf_dir):
+    return _both(spark, sf_dir, "c_acctbal > 9000")
+
+
+def intersect_atoms_all(spark, sf_dir):
+    return _both(spark, sf_dir, "true")
+
+
 def guard_semijoin(spark, sf_dir):
     """An atom whose other variables no action reads."""
     w = _orders(spark, sf_dir)
@@ -208,16 +250,26 @@ def guard_semijoin(spark, sf_dir):
     return w.db.read(m, ["n_nationkey"])
 
 
-def unify_components(spark, sf_dir):
+def _traded_classes(spark, sf_dir, rows: str) -> DataFrame:
     """Unions by rule; classes of parts (even keys) and suppliers (odd keys)."""
     w = _World(spark, "node", "unit")
-    edges = _table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").selectExpr("l_partkey * 2 as a", "l_suppkey * 2 + 1 as b")
+    edges = _table(spark, sf_dir, "lineitem").where(rows).selectExpr("l_partkey * 2 as a", "l_suppkey * 2 + 1 as b")
     w.db.load_facts(edges, w.map("edge", "(node, node) -> unit"), ["a", "b"])
     w.run(["edge('x, 'y) -> 'x == 'y"])
     nodes = edges.selectExpr("a as node").unionByName(edges.selectExpr("b as node")).distinct()
     return w.db.classes(nodes, "node", w.names["node"])
 
 
+def unify_components(spark, sf_dir):
+    """Classes joined by few lines."""
+    return _traded_classes(spark, sf_dir, "l_quantity >= 50 and l_discount >= 0.1")
+
+
+def unify_components_all(spark, sf_dir):
+    """Classes joined by all lines."""
+    return _traded_classes(spark, sf_dir, "true")
+
+
 def congruence_cells(spark, sf_dir):
     """Cells of equal nations become equal."""
     w = _World(spark, "nation", "segment unit")
@@ -244,16 +296,25 @@ def congruence_chain(spark, sf_dir):
     return out.selectExpr("k div 1024 as conv_id", "k % 1024 as turn", "root div 1024 as root_conv")
 
 
-def unify_then_rules(spark, sf_dir):
-    """Closure of a quotient graph."""
+def _quotient_closure(spark, sf_dir, rows: str) -> DataFrame:
     w = _graph(spark)
-    c = _table(spark, sf_dir, "customer").where("c_custkey < 100")
+    c = _table(spark, sf_dir, "customer").where(rows)
     w.db.load_facts(c.selectExpr("c_custkey as a", "c_custkey + 3 as b"), w.names["edge"], ["a", "b"])
     w.db.load_facts(c.where("c_custkey % 4 = 0").selectExpr("c_custkey as a", "c_custkey + 1 as b"), w.map("same", "(node, node) -> unit"), ["a", "b"])
     w.run(["same('x, 'y) -> 'x == 'y", *CLOSURE])
     return w.db.read(w.names["path"], ["src", "dst"])
 
 
+def unify_then_rules(spark, sf_dir):
+    """Closure of a quotient graph of fixed size."""
+    return _quotient_closure(spark, sf_dir, "c_custkey < 100")
+
+
+def unify_then_rules_all(spark, sf_dir):
+    """Closure of the quotient graph of all customers: about half the square of their number in rows."""
+    return _quotient_closure(spark, sf_dir, "true")
+
+
 def dup_documents(spark, sf_dir):
     """A function of the text: equal texts have equal values."""
     w = _World(spark, "doc", "text")
@@ -349,6 +410,7 @@ QUERIES = {
         tc_hierarchy, tc_bounded, tc_linear, tc_cyclic, incremental, join_two, join_three, join_star_skip, triangle, cross, nested_output, const_filter,
         repeated_var, union_rules, intersect_atoms, guard_semijoin, unify_components, congruence_cells, congruence_chain, unify_then_rules, dup_documents,
         part_classes, rewrite_double_negation, rewrite_multi, equivalence_commute, peano_add, unconditional, lookup_term,
+        tc_cyclic_all, triangle_all, repeated_var_all, union_rules_all, intersect_atoms_all, unify_components_all, unify_then_rules_all,
     )
 }
 
@@ -392,4 +454,21 @@ SELECT CAST(least(a, b) AS BIGINT) AS low, CAST(greatest(a, b) AS BIGINT) AS hig
     "peano_add": "SELECT a.r_regionkey::BIGINT AS a, b.r_regionkey::BIGINT AS b, (a.r_regionkey + b.r_regionkey)::BIGINT AS total FROM region a CROSS JOIN region b",
     "unconditional": "SELECT * FROM (VALUES ('x = y', true), ('x = z', false)) t(claim, holds)",
     "lookup_term": "SELECT n.k AS n_nationkey, r.k AS n_regionkey, EXISTS (SELECT 1 FROM nation WHERE n_nationkey = n.k AND nation.n_regionkey = r.k) AS found FROM (VALUES (0), (7), (24)) n(k) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) r(k)",
+    # whole tables
+    "tc_cyclic_all": _RECURSIVE.format(edges="SELECT c_custkey AS a, (7 * c_custkey + 3) % (SELECT count(*) FROM customer) AS b FROM customer"),
+    "triangle_all": "WITH r AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem) SELECT p.a AS x, q.a AS y, s.a AS z FROM r p JOIN r q ON p.b = q.a JOIN r s ON q.b = s.a AND s.b = p.a",
+    "repeated_var_all": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey = s_nationkey",
+    "union_rules_all": "SELECT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM customer UNION SELECT CAST(s_nationkey AS BIGINT) FROM supplier",
+    "intersect_atoms_all": "SELECT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM customer INTERSECT SELECT CAST(s_nationkey AS BIGINT) FROM supplier",
+    "unify_components_all": """WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+p(node, root) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM e
+  UNION
+  SELECT e.b, min(p.root) FROM p JOIN e ON p.node = e.a JOIN recurring.p AS q ON q.node = e.b WHERE p.root < q.root GROUP BY e.b)
+SELECT node, root FROM p""",
+    "unify_then_rules_all": """WITH RECURSIVE c AS (SELECT c_custkey AS k FROM customer),
+q AS (SELECT k, k + 3 AS n FROM c),
+e AS (SELECT DISTINCT CASE WHEN k % 4 = 1 THEN k - 1 ELSE k END AS a, CASE WHEN n % 4 = 1 AND n - 1 IN (SELECT k FROM c) THEN n - 1 ELSE n END AS b FROM q),
+p(src, dst) AS (SELECT a, b FROM e UNION SELECT p.src, e.b FROM p JOIN e ON p.dst = e.a) SELECT src, dst FROM p""",
 }
