@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules, in built-in functions only.
 
-A text is cut into sentences, each normalised to lower-case words.  Sentences
-are mapped to identifiers of known licence sentences, and the document's
+A text is cut into sentences, each normalised to lower-case words.  Each gives
+the identifiers of all known licence sentences in it, in text order, and the document's
 identifier sequence is matched against ordered licence rules: the first rule
 that fits takes its identifiers out of the sequence before the next is tried,
 so a three-clause text is not reported as a two-clause one as well.
@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from koine.llm.tables import table
 
 #: Every pattern below needs one of these words.
+WORDS = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|spdx|public[^a-z0-9]+domain|copyleft|endorse|creative[^a-z0-9]+commons|\bcc[^a-z0-9]+by"
+#: The same as the SQL has it, for words with one space between them.
 TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|spdx|public domain|copyleft|endorse|creative commons|\bcc[ -]by"
 
-#: Known licence sentences: identifier and pattern over the normalised sentence; the first that fits counts.
+#: Known licence sentences: identifier and pattern over the normalised sentence; of those that fit at one place the first counts.
 SENTENCES = [
     ("spdx_mit", r"spdx license identifier mit\b"),
     ("spdx_apache2", r"spdx license identifier apache 2 0\b"),
@@ -60,6 +62,17 @@ SENTENCES = [
     ("public_domain", r"(placed|released|dedicated) (in|into|to) the public domain"),
 ]
 
+_PUBLISHED = r"(as published by the free software foundation (either )?)?(v ?|ver ?|version )?"
+#: Further wordings, of the standard notices, which the registered tables (and so the SQL) do not have.
+VARIANTS = [
+    ("lgpl3_ref", rf"gnu lesser general public license {_PUBLISHED}3\b"),
+    ("lgpl21_ref", rf"gnu lesser general public license {_PUBLISHED}2 1\b"),
+    ("agpl3_ref", rf"gnu affero general public license {_PUBLISHED}3\b"),
+    ("gpl3_ref", rf"gnu general public license {_PUBLISHED}3\b"),
+    ("gpl2_ref", rf"gnu general public license {_PUBLISHED}2\b"),
+    ("mpl2_ref", r"subject to the terms of the mozilla public license (v ?|ver ?|version )?2 0"),
+]
+
 #: Ordered licence rules: name and the identifiers that must follow one another (others between them are passed over).
 RULES = [
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]),
@@ -105,14 +118,18 @@ def _rule_pattern(ids: list[str]) -> str:
 
 
 def sentences(text: Column) -> Column:
+    """Cut after ``. ``, ``! `` and ``? ``, but not inside ``v. 2.0``."""
     one_line = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
-    return F.split(F.regexp_replace(one_line, r"([.!?]) ", "$1\n"), "\n")
+    return F.split(F.regexp_replace(one_line, r"(?i)((?<!\b(?:v|ver))[.!?]|(?<=\b(?:v|ver))[.!?](?! [0-9])) ", "$1\n"), "\n")
 
 
 def identify(sentence: Column) -> Column:
-    """The identifier of a known sentence, or the empty string."""
+    """The identifiers of all known sentences in a sentence, in text order."""
     norm = F.trim(F.lower(F.regexp_replace(sentence, "[^A-Za-z0-9]+", " ")))
-    return reduce(lambda rest, s: F.when(norm.rlike(s[1]), F.lit(s[0])).otherwise(rest), reversed(SENTENCES), F.lit(""))
+    known = [(i, p.replace(".*", ".*?")) for i, p in SENTENCES + VARIANTS]
+    # looking ahead, so that a match may begin inside another
+    found = F.regexp_extract_all(norm, F.lit("(?=(" + "|".join(f"(?:{p})" for _, p in known) + "))"), F.lit(1))
+    return F.transform(found, lambda m: reduce(lambda rest, s: F.when(m.rlike(f"^(?:{s[1]})$"), F.lit(s[0])).otherwise(rest), reversed(known), F.lit("")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,8 +141,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     further columns are ignored.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    ids = F.filter(F.transform(F.filter(sentences(F.col("_t")), lambda s: s.rlike(TRIGGER)), identify), lambda i: i != "")
-    seq = F.when(F.col("_t").rlike(TRIGGER), F.concat_ws("", F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))))).otherwise("")
+    ids = F.flatten(F.transform(F.filter(sentences(F.col("_t")), lambda s: s.rlike(WORDS)), identify))
+    seq = F.when(F.col("_t").rlike(WORDS), F.concat_ws("", F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))))).otherwise("")
     out = docs.select(F.col(id_col).alias("doc_id"), t.alias("_t")).select("doc_id", seq.alias("sentence_ids"))
     left, names = F.col("sentence_ids"), []
     for name, rule in RULES:
