@@ -6,9 +6,10 @@ slot ``floor((j - 1) / w)`` and due at ``ceil(j / w)``; earliest deadline first
 then places every block before its deadline, so up to any slot a source is
 less than one block away from its share.
 
-Weights are fractions ``a / D``, so the schedule repeats every ``D`` slots: the
-driver schedules one period (at most ``resolution`` slots, whatever the input)
-and each document finds its slot by arithmetic on its rank.  Ranks come from
+Weights are taken exactly, as fractions of whole numbers, so the bound holds
+however long the mixture is.  Windows of such weights rarely repeat, so one
+task walks through all blocks (a heap entry per source, a step per block) and
+writes each one's slot; documents find it by source and block.  Ranks come from
 counts per (source, hash bucket) plus ranks inside a bucket, so a source that
 holds a third of all rows is spread over many tasks.
 
@@ -19,21 +20,31 @@ the deviation bound holds up to the first end.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import inf, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from koine.llm.tables import table
+from koine.llm.text import releasing
 from koine.sources.scratch import written
 
+#: Slots of a period of rounded weights.
 RESOLUTION = 1000
-MAX_SOURCES = 20_000
+#: No slot beyond it waits for a release: numbers stay BIGINT.
+LAST_SLOT = 1 << 62
 BLOCK_ROWS = 16
 #: Rows of a source that are ranked together, about.
 BUCKET_ROWS = 1_000
+#: Blocks whose slots are handed over together.
+STEP_ROWS = 1 << 16
 
 
 def apportion(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Whole slots per period for each source, at least one, by largest remainder."""
+    """Whole slots per period for each source, at least one, by largest remainder:
+    rounded weights, for a short period only; mixtures use ``exact``."""
     if not weights:
         return {}
     if any(not w > 0 for w in weights.values()):
@@ -47,22 +58,44 @@ def apportion(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[s
     return slots
 
 
+def exact(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights, as written in decimals."""
+    parts = [Fraction(repr(float(w))) for w in weights]
+    d = lcm(*{p.denominator for p in parts})
+    return [p.numerator * (d // p.denominator) for p in parts]
+
+
+def placements(parts: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Earliest deadline first: source, block (from 0) and slot of every block,
+    in slot order.  Source ``i`` has the weight ``parts[i] / sum(parts)`` and ends
+    after ``blocks[i]`` blocks."""
+    d = sum(parts)
+    done = [0] * len(parts)
+    waiting = [(0, i) for i, n in enumerate(blocks) if n > 0]  # a source's next block, by release
+    ready: list[tuple[int, int]] = []  # by deadline
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, min(waiting[0][0], LAST_SLOT))
+        while waiting and (waiting[0][0] <= t or not ready):
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[i] + 1) * d // parts[i]), i))
+        due, i = heapq.heappop(ready)
+        if due <= t < LAST_SLOT:
+            raise AssertionError("a deadline was missed")
+        yield i, done[i], t
+        done[i] += 1
+        t += 1
+        if done[i] < blocks[i]:
+            heapq.heappush(waiting, (done[i] * d // parts[i], i))
+
+
 def schedule(slots: dict[str, int]) -> dict[str, list[int]]:
     """Earliest deadline first over one period: the slot of each of a source's blocks."""
-    d = sum(slots.values())
-    released: dict[int, list[tuple[int, str, int]]] = {}
-    for name, a in slots.items():
-        for j in range(a):
-            released.setdefault(j * d // a, []).append((-(-(j + 1) * d // a), name, j))
-    ready: list[tuple[int, str, int]] = []
-    out = {name: [0] * a for name, a in slots.items()}
-    for t in range(d):
-        for task in released.get(t, ()):
-            heapq.heappush(ready, task)
-        due, name, j = heapq.heappop(ready)
-        if due <= t:
-            raise AssertionError("a deadline was missed")
-        out[name][j] = t
+    names = sorted(slots)
+    out: dict[str, list[int]] = {k: [] for k in slots}
+    for i, _, t in placements([slots[k] for k in names], [slots[k] for k in names]):
+        out[names[i]].append(t)
     return out
 
 
@@ -71,43 +104,62 @@ def tempered(counts: dict[str, int], temperature: float = 2.0) -> dict[str, floa
     return {k: n ** (1.0 / temperature) for k, n in counts.items() if n}
 
 
-def _placed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows: int, resolution: int, id_col: str, source_col: str) -> DataFrame:
+def _slots(counts: DataFrame, given: dict[str, float], block_rows: int) -> DataFrame:
+    """``src, block, slot`` for all blocks of the sources in ``counts``, by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r["src"], r["count"]) for b in batches for r in b.to_pylist())
+        names = [k for k, _ in found]
+        target = tempered(dict(found))
+        if given:
+            scale = sum(target.values())
+            target = {k: given.get(k, w / scale) for k, w in target.items()}
+        steps = placements(exact([target[k] for k in names]) if names else [], [-(-n // block_rows) for _, n in found])
+        rows: list[tuple[str, int, int]] = []
+
+        def batch() -> pa.RecordBatch:
+            src, block, slot = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], ["src", "block", "slot"])
+
+        for i, j, t in steps:
+            rows.append((names[i], j, t))
+            if len(rows) == STEP_ROWS:
+                yield batch()
+                rows.clear()
+        if rows:
+            yield batch()
+
+    return counts.select("src", "count").repartition(1).mapInArrow(releasing(run), "src string, block long, slot long")
+
+
+def _placed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows: int, id_col: str, source_col: str) -> DataFrame:
     """``row, block, slot, offset`` with each row of ``docs`` as one column."""
-    spark = docs.sparkSession
     source = F.col(source_col)
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.lit(17), id_col).alias("h"),
         F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source.cast("string"))).alias("src"),
     )
-    found = {r["src"]: r["count"] for r in rows.groupBy("src").count().limit(MAX_SOURCES + 1).collect()}
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: map them to fewer groups first")
-    target = tempered(found)
-    if weights:
-        scale = sum(target.values())
-        given = {("-" if k is None else f"+{k}"): w for k, w in weights.items()}
-        target = {k: given.get(k, w / scale) for k, w in target.items()}
-    slots = apportion(target, resolution)
-    period = sum(slots.values())
-    bits = {k: max(1, (n // BUCKET_ROWS).bit_length()) for k, n in found.items()}
-    shares = spark.createDataFrame([(k, a, bits[k]) for k, a in slots.items()], "src string, a int, bits int")  # at most MAX_SOURCES rows
-    rows = rows.join(F.broadcast(shares), "src").withColumn("bucket", F.expr("shiftrightunsigned(h, 64 - bits)"))
+    counts = written(rows.groupBy("src").count(), "sources")
+    given = {("-" if k is None else f"+{k}"): w for k, w in (weights or {}).items()}
+    bad = [k for k, w in given.items() if not 0 < w < inf]
+    if bad and counts.where(F.col("src").isin(bad)).limit(1).count():
+        raise ValueError("weights must be positive")
+    slots = written(_slots(counts, given, block_rows), "slots")
+    # bucket bits: the length in bits of count div BUCKET_ROWS, at least one
+    bits = F.greatest(F.lit(1), F.length(F.bin(F.floor(F.col("count") / BUCKET_ROWS)))).cast("int")
+    rows = rows.join(counts.select("src", bits.alias("bits")), "src").withColumn("bucket", F.expr("shiftrightunsigned(h, 64 - bits)"))
     # a row per bucket
     ahead = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("src", "bucket").count().withColumn("start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
     inside = W.partitionBy("src", "bucket").orderBy("h", "id")
     ranked = rows.withColumn("in", F.row_number().over(inside) - 1).join(starts, ["src", "bucket"])
-    period_table = spark.createDataFrame([(k, j, s) for k, own in schedule(slots).items() for j, s in enumerate(own)], "src string, j int, at int")
     rank = F.col("start") + F.col("in")
     ranked = ranked.withColumn("block", F.floor(rank / block_rows)).withColumn("offset", F.pmod(rank, F.lit(block_rows)).cast("int"))
-    ranked = ranked.withColumn("j", F.pmod(F.col("block"), F.col("a").cast("long")).cast("int"))
-    placed = ranked.join(F.broadcast(period_table), ["src", "j"])  # as many rows as the period has slots
-    slot = F.floor(F.col("block") / F.col("a")) * F.lit(period).cast("long") + F.col("at")
-    return placed.select("row", "block", slot.cast("long").alias("slot"), "offset")
+    return ranked.join(slots, ["src", "block"]).select("row", "block", "slot", "offset")
 
 
 def mixed(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, id_col: str = "doc_id", source_col: str = "source"
+    docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source"
 ) -> DataFrame:
     """``docs`` with ``block, slot, offset``: the block of its source, the
     block's slot in the mixture and the place in the block (columns of these
@@ -119,17 +171,17 @@ def mixed(
     an id follow one another.  A null source is a source of its own.  An empty
     table gives an empty result.
     """
-    out = _placed(docs, weights, block_rows, resolution, id_col, source_col)
+    out = _placed(docs, weights, block_rows, id_col, source_col)
     own = [c for c in docs.columns if c not in ("block", "slot", "offset")]
     return out.select(*[F.col("row").getField(c).alias(c) for c in own], "block", "slot", "offset")
 
 
 def in_order(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, id_col: str = "doc_id", source_col: str = "source"
+    docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source"
 ) -> DataFrame:
     """``docs`` with the same columns, its rows in the order of the mixture
     (files in slot order, rows of a file too)."""
-    placed = written(_placed(docs, weights, block_rows, resolution, id_col, source_col), "mixed")
+    placed = written(_placed(docs, weights, block_rows, id_col, source_col), "mixed")
     n = max(1, placed.rdd.getNumPartitions())
     return placed.repartitionByRange(n, "slot", "offset").sortWithinPartitions("slot", "offset").select("row.*")
 
