@@ -233,14 +233,22 @@ def content(blocks: list[tuple[str, Node]], parent: list[int], tags: list[str])
         if tags[e] in ("article", "main"):
             article, around = e, True
         e = parent[e]
-    inside = set()
+    # chosen text elsewhere stays too: whole articles, and what is listed among it
+    common = max(e for e, c in enumerate(under) if c >= under[0])
+    whole, inside, among = set(), set(), set()
     for e in range(len(parent)):
+        if around and e == article or tags[e] in ("article", "main") and under[e] or parent[e] in whole:
+            whole.add(e)
         if e == article or parent[e] in inside:
             inside.add(e)
+        if e == common or parent[e] in among:
+            among.add(e)
     return [
         t
         for t, n in blocks
-        if n.element in inside and (around or n.path in chosen or n.leaf in LISTED and linked[n.path] < 0.5 * length[n.path])
+        if n.path in chosen
+        or n.element in whole
+        or (n.element in inside or n.element in among) and n.leaf in LISTED and linked[n.path] < 0.5 * length[n.path]
     ]
 
 
