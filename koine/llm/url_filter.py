@@ -26,8 +26,10 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
+COMMENT = r"(?s)<!--.*?-->"
+_REL = r"""(?<![\w-])rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""
+CANONICAL = rf"""(?is)<link\b(?=[^>]*{_REL})[^>]*(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b)[^>]*(?<![\w-])content\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def with_parts(df: DataFrame, url_col: str, host: str = "host", path: str = "path") -> DataFrame:
@@ -48,10 +50,10 @@ def resource(url: Column) -> Column:
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(a, b)`` alias edges that the pages declare: canonical links and meta refreshes."""
-    html = F.col(html_col)
-    marked = pages.where(F.lower(html).rlike("canonical|http-equiv") & F.col(url_col).contains("://"))
-    found = F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))
+    """``(a, b)`` alias edges that the pages declare: all canonical links and meta refreshes outside comments."""
+    html = F.regexp_replace(html_col, COMMENT, "")
+    marked = pages.where(F.lower(html_col).rlike("canonical|http-equiv") & F.col(url_col).contains("://"))
+    found = F.array_union(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (CANONICAL, REFRESH)])
     each = marked.select(F.col(url_col).alias("_url"), F.explode(found).alias("_to")).where("_to <> ''")
     origin = F.regexp_extract("_url", r"^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract("_url", r"^(.*?:)//", 1)
