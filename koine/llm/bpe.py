@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -121,12 +122,19 @@ class Codec:
 
     @staticmethod
     def _halves(text: str) -> list[str]:
-        if len(text) <= PIECE:
-            return [text]
-        cut = _CUT.search(text, len(text) // 2) or _CUT.search(text, 1)
-        if not cut:
-            return [text]
-        return Codec._halves(text[: cut.start()]) + Codec._halves(text[cut.start() :])
+        """Parts of at most PIECE characters, or without a place to cut."""
+        cuts = [m.start() for m in _CUT.finditer(text)] if len(text) > PIECE else []
+        out, todo = [], [(0, len(text), 0, len(cuts))]
+        while todo:
+            at, end, low, high = todo.pop()  # with the cuts[low:high] inside
+            if end - at <= PIECE or low == high:
+                out.append(text[at:end])
+                continue
+            k = bisect_left(cuts, (at + end) // 2, low, high)
+            if k == high or k > low and (at + end) // 2 - cuts[k - 1] < cuts[k] - (at + end) // 2:
+                k -= 1  # the nearest to the middle
+            todo += [(cuts[k], end, k + 1, high), (at, cuts[k], low, k)]
+        return out
 
     def encode(self, texts: pa.Array | list[str]) -> list[list[int]]:
         """Token ids of each text."""

@@ -1,0 +1,15 @@
+"""Texts whose places to cut are all on one side."""
+
+import pytest
+
+from koine.llm import bpe
+
+LINES = "\n".join(f"word{k}" for k in range(4_000))
+FEW = " ".join(f"w{k}" for k in range(2_000))
+
+
+@pytest.mark.parametrize("text", [FEW + "\n" + LINES, LINES + "\n" + FEW, FEW + "\n" + LINES + " " + FEW, LINES, "a b" + "\nx" * 20_000, "a " * 50_000])
+def test_encoding_equals_the_library(text):
+    codec = bpe.Codec(bpe.default_path())
+    assert codec.encode([text]) == [codec.tokenizer.encode(text, add_special_tokens=False).ids]
+    assert "".join(codec._halves(text)) == text
