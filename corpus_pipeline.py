@@ -5,7 +5,8 @@ weights and encoded.
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its
 predecessor kept; all but the last return the columns of ``documents``.  The
 mixing stage keeps every row and decides the order: its files, by name, and the
-rows in a file follow the mixture.
+rows in a file follow the mixture, and the encoding stage reads each row's
+position from there.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from koine.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 from koine.llm.tables import table
 from koine.sources.scratch import written
 
+#: Target weight of each source; None: tempered weights of their row counts.
+WEIGHTS: dict[str | None, float] | None = None
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the Bradley-Terry classifier rejects."""
@@ -34,12 +38,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the documents into the order of the mixture."""
-    return mixing.in_order(docs)
+    return mixing.in_order(docs, WEIGHTS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with their digests."""
-    return bpe.tokenize(docs, with_ids=True)
+    """Token ids of each document, with their digests and its position in the mixture."""
+    return bpe.tokenize(mixing.with_position(docs), with_ids=True, keep=("position",))
 
 
 STAGES = [

@@ -178,17 +178,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenize(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids`` if asked for)
     of every whole text; one row per input row.
 
     ``tokenizer`` is the path of a tokenizer file that every executor can read.
     Null text is encoded as the empty text: no tokens, digests of nothing.
-    Repeated rows give repeated results; other columns are not read; an empty
-    table gives an empty result.
+    Repeated rows give repeated results; other columns are not read, but for
+    ``keep``, which are returned as they are; an empty table gives an empty result.
     """
     path = tokenizer or default_path()
+    kept = [docs.schema[c] for c in keep]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -207,9 +209,12 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
+                for k, name in enumerate(keep, 2):
+                    columns.append(batch.column(k).slice(at, end - at))
+                    names.append(name)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
+    return docs.select(id_col, text_col, *keep).mapInArrow(releasing(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,5 +186,18 @@ def in_order(
     return placed.repartitionByRange(n, "slot", "offset").sortWithinPartitions("slot", "offset").select("row.*")
 
 
+def with_position(ordered: DataFrame) -> DataFrame:
+    """The written and reread rows of ``in_order`` with ``position``, from 0: their
+    place in the mixture by file number and row of the file, however Spark packs
+    the files into tasks.  ``ordered`` must be a Parquet table as read."""
+    name = F.col("_metadata.file_name")
+    part, chunk = (F.coalesce(F.regexp_extract(name, p, 1).try_cast("long"), F.lit(0)) for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    rows = ordered.select(*ordered.columns, part.alias("_part"), chunk.alias("_chunk"), F.col("_metadata.row_index").alias("_row"))
+    # a row per file
+    ahead = W.orderBy("_part", "_chunk").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("_part", "_chunk").count().withColumn("_start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
+    return rows.join(F.broadcast(starts), ["_part", "_chunk"]).select(*ordered.columns, (F.col("_start") + F.col("_row")).alias("position"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
