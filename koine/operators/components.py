@@ -3,9 +3,10 @@
 Alternating large-star / small-star rounds (Kiveris et al., SoCC 2014), each a
 shuffle on the node with a map-side partial ``min``.  No adjacency list is ever
 collected into one task: a hub with millions of neighbours only contributes
-``min`` aggregates and rows of an equi-join.  Once there are many edges, the
-minima are a table before that join, so that both its sides are plain shuffles
-and adaptive execution splits a hub's rows over tasks.
+``min`` aggregates and rows of an equi-join.  Few minima (at most ``FILE_EDGES``
+edges have them) are broadcast to the edges, which then are not dealt by node at
+all; many are a table before that join, so that both its sides are plain
+shuffles and adaptive execution splits a hub's rows over tasks.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ MAX_ROUNDS = 100
 FILE_EDGES = 100_000
 
 
+def _minima(low: DataFrame, many: bool) -> DataFrame:
+    return written(low, "minima") if many else F.broadcast(low)
+
+
 def _large_star(e: DataFrame, many: bool) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    low = written(low, "minima") if many else low
+    low = _minima(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), many)
     out = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
 
@@ -30,9 +34,17 @@ def _large_star(e: DataFrame, many: bool) -> DataFrame:
 def _small_star(e: DataFrame, many: bool) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    low = written(low, "minima") if many else low
-    linked = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return linked.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    kept = _minima(low, many)
+    linked = down.join(kept, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return linked.unionByName((kept if many else low).select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+
+def _settled(e: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge to a root."""
+    ends = e.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(e.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not each.where("up > 1 or up = 1 and down = 1").limit(1).count()
 
 
 def on_driver(edges: list[tuple]) -> list[tuple]:
@@ -60,16 +72,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     e = checkpointed(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     for _ in range(MAX_ROUNDS):
-        state = e.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if state["n"] == 0 or state == before:
+        n = e.count()
+        if n == 0 or _settled(e):
             break
-        before = state
-        many = state["n"] > FILE_EDGES
+        many = n > FILE_EDGES
         large = _large_star(e, many)
         small = _small_star(checkpointed(large) if many else large, many)
-        e = checkpointed(small.coalesce(max(1, -(-state["n"] // FILE_EDGES))))
+        e = checkpointed(small.coalesce(max(1, -(-n // FILE_EDGES))))
     else:
         raise RuntimeError(f"components have not settled in {MAX_ROUNDS} rounds")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
