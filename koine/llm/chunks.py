@@ -82,35 +82,44 @@ def id_ranges(docs: DataFrame, id_col: str, chunks: int) -> Ranges | None:
     return Ranges(got["low"], got["high"], got["q"] if k > 1 else [], -(-chunks // k))
 
 
+class Packer:
+    """Collects numbered rows of a task and packs them by chunk."""
+
+    def __init__(self):
+        self.pending: list[tuple[np.ndarray, pa.RecordBatch]] = []
+        self.held = 0
+
+    def add(self, number: np.ndarray, rows: pa.RecordBatch) -> list[tuple[int, bytes]]:
+        """Packs that are full with these rows."""
+        if len(number):
+            self.pending.append((number, rows))
+            self.held += rows.nbytes
+        return self.flush() if self.held > PENDING_BYTES else []
+
+    def flush(self) -> list[tuple[int, bytes]]:
+        if not self.pending:
+            return []
+        rows = pa.Table.from_batches([b for _, b in self.pending]).combine_chunks()
+        number = np.concatenate([n for n, _ in self.pending])
+        self.pending, self.held = [], 0
+        order = np.argsort(number, kind="stable")
+        cuts = np.flatnonzero(np.diff(number[order], prepend=-1, append=-1))
+        return [(int(number[order[a]]), pack_rows(rows.take(pa.array(order[a:z])).combine_chunks().to_batches()[0])) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def packed(docs: DataFrame, chunk_of: Callable[[pa.RecordBatch], tuple[np.ndarray, pa.RecordBatch]]) -> DataFrame:
     """``(chunk, pack)`` rows of ``docs``; ``chunk_of`` gives each batch's chunk
     numbers and the rows to pack (which may be fewer than it was given)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[tuple[np.ndarray, pa.RecordBatch]] = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches([b for _, b in pending]).combine_chunks()
-            number = np.concatenate([n for n, _ in pending])
-            order = np.argsort(number, kind="stable")
-            cuts = np.flatnonzero(np.diff(number[order], prepend=-1, append=-1))
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                part = rows.take(pa.array(order[a:z])).combine_chunks()
-                blob = pack_rows(part.to_batches()[0])
-                yield pa.RecordBatch.from_arrays([pa.array([number[order[a]]], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "pack"])
+    def out(packs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for number, blob in packs:
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "pack"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer()
         for batch in batches:
-            number, rows = chunk_of(batch)
-            if not len(number):
-                continue
-            pending.append((number, rows))
-            held += rows.nbytes
-            if held > PENDING_BYTES:
-                yield from flush()
-                pending, held = [], 0
-        if pending:
-            yield from flush()
+            yield from out(packer.add(*chunk_of(batch)))
+        yield from out(packer.flush())
 
     return docs.mapInArrow(releasing(run), "chunk int, pack binary")
 

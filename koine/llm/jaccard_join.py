@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from koine.llm.chunks import layout, packed, text_of, text_size, unpacked
+from koine.llm.chunks import layout, Packer, text_of, text_size, unpacked
 from koine.llm.tables import table
 from koine.llm.text import combine, mix, pack_bytes, pack_sorted, releasing, releasing_cogroup, releasing_group, slices, strings, U, unpack_bytes, unpack_sorted, words
 from koine.operators.components import components
@@ -136,48 +136,61 @@ def _squeeze(text: str) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(text.encode())
 
 
-def _spread(body: bytes) -> np.ndarray:
+def _unpressed(body: bytes) -> bytes:
     import zstandard
 
-    return shingle_sets(strings(pa.array([zstandard.ZstdDecompressor().decompress(body).decode()])), 0, 1)[0]
+    return zstandard.ZstdDecompressor().decompress(body)
+
+
+def _spread(body: bytes) -> np.ndarray:
+    return shingle_sets(strings(pa.array([_unpressed(body).decode()])), 0, 1)[0]
+
+
+def word_shingles(text: bytes, k: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    """The set of a text in words, not fingerprints."""
+    w = text.lower().split()
+    return {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+
 
+_PREPARED = "chunk int, pack binary, doc_id long, n_shingles long, d1 long, d2 long"
+
+
+def _prepared(docs: DataFrame, chunks: int) -> DataFrame:
+    """In one pass over ``doc_id, text``: each row's set size and digests, and
+    the texts of distinct sets packed by chunk (rows of ``chunk, pack``)."""
+    names = [f.split()[0] for f in _PREPARED.split(", ")]
+
+    def out(packs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        none = pa.array([None], pa.int64())
+        for number, blob in packs:
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([blob], pa.binary()), none, none, none, none], names)
 
-def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer()
         for b in batches:
             text = strings(b.column(1))
             for a, z in slices(text):
                 fp, first = shingle_sets(text, a, z)
-                d1, d2 = set_digests(fp, first)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(np.diff(first)), pa.array(d1), pa.array(d2)], ["doc_id", "n_shingles", "d1", "d2"])
-
-    return docs.mapInArrow(releasing(run), "doc_id long, n_shingles long, d1 long, d2 long")
-
-
-def _candidates(docs: DataFrame, chunks: int, groups: int) -> DataFrame:
+                x, y = set_digests(fp, first)
+                n = np.diff(first)
+                ids = b.column(0).slice(a, z - a)
+                yield pa.RecordBatch.from_arrays([pa.nulls(z - a, pa.int32()), pa.nulls(z - a, pa.binary()), ids, pa.array(n), pa.array(x), pa.array(y)], names)
+                # of equal sets here only the smallest id goes on
+                order = np.lexsort((np.asarray(ids.fill_null(0)), y, x))
+                order = order[(n[order] > 0) & np.asarray(ids.is_valid())[order]]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+                keep = order[new]
+                rows = pa.RecordBatch.from_arrays([ids, pa.array(x), pa.array(y), text.slice(a, z - a)], ["doc_id", "d1", "d2", "text"])
+                yield from out(packer.add((mix(x[keep].view(U)) % U(chunks)).astype(np.int32), rows.take(pa.array(keep))))
+        yield from out(packer.flush())
+
+    return docs.mapInArrow(releasing(run), _PREPARED)
+
+
+def _candidates(packs: DataFrame, groups: int) -> DataFrame:
     """``rep, n, own, tokens, body`` of the classes that index something."""
 
-    def chunk_of(b: pa.RecordBatch):
-        text = strings(b.column(1))
-        d1, d2 = [], []
-        for a, z in slices(text):
-            fp, first = shingle_sets(text, a, z)
-            x, y = set_digests(fp, first)
-            d1.append(np.where(np.diff(first) > 0, x, 0))
-            d2.append(np.where(np.diff(first) > 0, y, 0))
-        if not d1:
-            return np.zeros(0, np.int32), b
-        x, y = np.concatenate(d1), np.concatenate(d2)
-        # of equal sets here only the smallest id goes on
-        order = np.lexsort((np.asarray(b.column(0)), y, x))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
-        keep = order[new & ((x[order] != 0) | (y[order] != 0))]
-        rows = pa.RecordBatch.from_arrays([b.column(0), pa.array(x), pa.array(y), b.column(1).fill_null("")], ["doc_id", "d1", "d2", "text"])
-        return (mix(x[keep].view(U)) % U(chunks)).astype(np.int32), rows.take(pa.array(keep))
-
-    packs = packed(docs, chunk_of)
-
     def tell(key, rows):
         got = [(key[0].as_py(), g, len(t), pack_sorted(t), pack_bytes(np.minimum(df, 255))) for g, t, df in Classes(rows["pack"], groups).parts()]
         c, g, n, blob, df = zip(*got, strict=True) if got else ((),) * 5
@@ -211,7 +224,8 @@ def _candidates(docs: DataFrame, chunks: int, groups: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """``x, y, nx, ny, common`` of pairs ``(x, y)``."""
+    """``x, y, nx, ny, common`` of pairs ``(x, y)``: by fingerprints, and where
+    those link a pair by the words themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -228,7 +242,11 @@ def _compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
             sizes = ([], [], [])
             for i, (p, q) in enumerate(zip(x, y, strict=True)):
                 s, t = get(p, b.column(2)[i]), get(q, b.column(3)[i])
-                for out, v in zip(sizes, (len(s), len(t), len(np.intersect1d(s, t, assume_unique=True))), strict=True):
+                found = len(s), len(t), len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * found[2] >= PERCENT * (found[0] + found[1] - found[2]):
+                    s, t = (word_shingles(_unpressed(b.column(c)[i].as_buffer())) for c in (2, 3))
+                    found = len(s), len(t), len(s & t)
+                for out, v in zip(sizes, found, strict=True):
                     out.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(s, pa.int32()) for s in sizes)], ["x", "y", "nx", "ny", "common"])
 
@@ -250,14 +268,10 @@ def _labelled(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     return entries.join(nodes.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(packs: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
     """Verified links ``(x, y)`` between classes that connect all components,
-    and ``(node, root)`` of those components; ``docs`` has ``doc_id, text``."""
-    spark = docs.sparkSession
-    _, size = text_size(docs, "text")
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks, groups = layout(size, parallel)
-    found = written(_candidates(docs, chunks, groups), "classes")
+    and ``(node, root)`` of those components; ``packs`` holds the classes' texts."""
+    found = written(_candidates(packs, groups), "classes")
     bodies = found.select("rep", "body")
     # size blocks: partners differ by at most a factor of 100 / PERCENT
     step = float(np.log(100 / PERCENT))
@@ -325,9 +339,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = rows.where("doc_id is not null")
-    sigs = written(_signatures(rows), "signatures")
-    _, nodes = links(known)
+    _, size = text_size(rows, "text")
+    chunks, groups = layout(size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    prepared = written(_prepared(rows, chunks), "prepared")
+    sigs = prepared.where("chunk is null").drop("chunk", "pack")
+    _, nodes = links(prepared.where("chunk is not null").select("chunk", "pack"), groups)
     classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
     roots = classes.join(nodes.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("d1", "d2", "class_id", F.coalesce("root", "class_id").alias("root"))
     full = F.col("n_shingles") > 0

@@ -1,9 +1,10 @@
 """Vectorised text primitives on Arrow buffers (NumPy only, no per-word Python).
 
 Words are maximal runs of bytes outside ``0x20`` and ``0x09-0x0D``.  A word's
-fingerprint is a 64-bit polynomial hash, finished by an avalanche mix; the
-fingerprint of ``k`` consecutive words is a multilinear combination of theirs,
-mixed again.
+fingerprint chains its length and its bytes, eight at a time, through a 64-bit
+avalanche mix, so that no arithmetic relation between the bytes of two words
+makes theirs equal; the fingerprint of ``k`` consecutive words is a multilinear
+combination of theirs, mixed again.
 """
 
 from __future__ import annotations
@@ -13,15 +14,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_R = U(0x9E3779B97F4A7C15)
-_RINV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
+_GOLDEN = U(0x9E3779B97F4A7C15)
+_STEP, _LANE = U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)
+#: Masks of the first 0 to 8 bytes of a lane.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
+#: Bytes beyond which a word is hashed by itself.
+LONG_WORD = 256
 #: Bytes of text hashed at once; a longer single text is hashed alone.
 SLICE_BYTES = 1 << 20
 
@@ -35,14 +40,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_R, _RINV)):
-            p = np.full(n, base, dtype=U)
-            p[0] = U(1)
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A fingerprint of each ``data[start:end]``."""
+    length = ends - starts
+    out = np.zeros(len(starts), dtype=U)
+    long = np.flatnonzero(length > LONG_WORD)
+    if len(long):
+        out[long] = mix(np.array([xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes()) for i in long], dtype=U))
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    own = np.flatnonzero(length <= LONG_WORD) if len(long) else np.arange(len(starts))
+    at, left = (starts[own], length[own]) if len(long) else (starts, length)
+    out[own] = mix(left.astype(U) + _GOLDEN)
+    while len(own):
+        block = lanes[at] & _MASK[np.minimum(left, 8)]
+        out[own] = mix(out[own] * _STEP ^ block * _LANE)
+        more = np.flatnonzero(left > 8)
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def release() -> None:
@@ -102,11 +118,7 @@ class Words:
         self.starts = np.flatnonzero(word & (~before | edge[:-1]))
         self.ends = np.flatnonzero(word & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _powers(n + 1)
-        sums = np.zeros(n + 1, dtype=U)
-        np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        self.hashes = mix(raw + (self.ends - self.starts).astype(U) * U(0xD6E8FEB86659FD93))
+        self.hashes = hash_words(data, self.starts, self.ends)
 
     def windows(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of all runs of ``k`` words inside one text, and the
