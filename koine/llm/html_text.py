@@ -1,12 +1,17 @@
 """Main-text extraction by tag-path ratios.
 
-A page becomes a sequence of text nodes with their root-to-leaf tag paths.
-For every path the text length and the punctuation per node are aggregated;
-each node takes its path's two ratios, the sequences are smoothed over
-neighbouring nodes, fused by their geometric mean and thresholded.  Paths with
-most of their text above the threshold are content paths; the smallest element
-around (nearly) all content is the article, and its text is returned whole
-but for furniture (menus, notices, adverts, forms, comments, scripts) inside.
+A page becomes a sequence of blocks of text with their root-to-leaf tag paths
+(containers with their classes).  For every path the text length and the
+punctuation per block are aggregated; each block takes its path's two ratios,
+the sequences are smoothed over neighbouring blocks and fused by their geometric
+mean.  Paths are then judged against the text's average: strong ones are the
+core; inside the smallest element around the core weaker paths, headings and
+lists are content too, outside it only paths that are strong by themselves.
+
+Menus, footers, scripts and the like are left out by their tags.  A telling
+class or id (``sidebar``, ``comments``) and a high share of links only lower a
+path's ratios, and a name is disregarded where nearly all of a page's text bears
+it.
 """
 
 from __future__ import annotations
@@ -28,10 +33,11 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-FURNITURE = frozenset("nav header footer aside form button select menu dialog option object canvas audio video head".split())
+FURNITURE = frozenset("nav header footer aside button select menu dialog option object canvas audio video head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTED = HEADINGS | frozenset("li pre blockquote td th dd dt figcaption caption".split())
-CONTAINERS = frozenset("article main section div td body html".split())
+#: Elements whose class is part of their paths.
+CONTAINERS = frozenset("section div ul ol dl table td".split())
 #: Start tags that end an open element of the listed kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = frozenset("ul ol table dl select".split())
@@ -49,56 +55,76 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PUNCT = re.compile(r"[.,;:!?。、，；：！？…—]")
+_DIGITS = re.compile(r"\d+")
 KERNEL = np.array([0.05, 0.25, 0.4, 0.25, 0.05])
-THRESHOLD_STD = 0.6
-CONTAINED = 0.9
+#: What a telling name leaves of a path's ratio, and what text made of links only leaves.
+NAMED, LINKED = 0.1, 0.1
+#: Shares of the average ratio: of the core, of paths inside the element around it, of paths elsewhere.
+CORE, INSIDE, ELSEWHERE = 0.7, 0.3, 0.5
+#: Names count for nothing if less than this share of the text is without them, for elements of this many characters.
+UNNAMED, NAMED_LEAST = 0.1, 200
 
 
 class Node:
-    """A run of text: its block, the block element around it and that one's path."""
+    """A run of text: its block, the block element around it, that one's path
+    and tag, and the innermost element of a telling name around it."""
 
-    __slots__ = ("text", "block", "element", "path", "leaf", "link")
+    __slots__ = ("text", "block", "element", "path", "leaf", "link", "named")
 
-    def __init__(self, text: str, block: int, element: int, path: int, leaf: str, link: bool):
-        self.text, self.block, self.element, self.path, self.leaf, self.link = text, block, element, path, leaf, link
+    def __init__(self, text: str, block: int, element: int, path: int, leaf: str, link: bool, named: int):
+        self.text, self.block, self.element, self.path, self.leaf, self.link, self.named = text, block, element, path, leaf, link, named
 
 
 class _Open:
     """An open element, with what it takes from those around it."""
 
-    __slots__ = ("tag", "number", "furniture", "article", "link", "block")
+    __slots__ = ("tag", "number", "furniture", "article", "link", "named", "block")
 
-    def __init__(self, tag: str, number: int, furniture: bool, article: bool, link: bool, block: tuple[int, int, str]):
-        self.tag, self.number, self.furniture, self.article, self.link = tag, number, furniture, article, link
+    def __init__(self, tag: str, number: int, furniture: bool, article: bool, link: bool, named: int, block: tuple[int, int, str]):
+        self.tag, self.number, self.furniture, self.article, self.link, self.named = tag, number, furniture, article, link, named
         #: Number, path and tag of the block element here or around.
         self.block = block
 
 
-def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
+class Page:
+    """A parsed page: text in order, each element's parent, and for elements of a
+    telling name the next one around (0: none)."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.parent = [-1]
+        self.named: dict[int, int] = {}
+
+
+def _kind(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, str]:
+    """Whether an element is furniture, whether its name tells so, and its class."""
     if tag in FURNITURE and not (tag == "header" and in_article):
-        return True
+        return True, False, ""
+    named, own = tag == "form", ""
     if not attrs or tag in ROOTS:
-        return False
+        return False, named, own
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).strip().lower()
         if name in ("class", "id") and any(FURNITURE_NAME.match(x) for x in value.split()):
-            return True
+            named = True
+        if name == "class" and tag in CONTAINERS:
+            own = _DIGITS.sub("", value)
         if name == "role" and ROLES.match(value) or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False, ""
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, False, ""
+    return False, named, own
 
 
-def parse(page: str) -> tuple[list[Node], list[int], list[str]]:
-    """Text nodes outside furniture in page order; each element's parent and tag.
+def parse(page: str) -> Page:
+    """The text of a page outside furniture.
 
     Each tag costs the elements it closes, however deep the page is nested.
     """
-    nodes: list[Node] = []
-    parent, tags = [-1], [""]
-    paths: dict[tuple[int, str], int] = {}
-    stack = [_Open("", 0, False, False, False, (0, 0, ""))]
+    out = Page()
+    nodes, parent = out.nodes, out.parent
+    paths: dict[tuple[int, str, str, int], int] = {}
+    stack = [_Open("", 0, False, False, False, 0, (0, 0, ""))]
     opened: Counter[str] = Counter()
     block, at, size = 0, 0, len(page)
     lower = None
@@ -106,7 +132,7 @@ def parse(page: str) -> tuple[list[Node], list[int], list[str]]:
     def push(text: str) -> None:
         top = stack[-1]
         if text and not top.furniture:
-            nodes.append(Node(text, block, top.block[0], top.block[1], top.block[2], top.link))
+            nodes.append(Node(text, block, *top.block, top.link, top.named))
 
     def pop_to(k: int) -> None:
         for e in stack[k:]:
@@ -142,7 +168,10 @@ def parse(page: str) -> tuple[list[Node], list[int], list[str]]:
                 else:
                     pop_to(k)
             continue
+        attrs = m["attrs"] if m["tag"] else m["attrs2"]
         if tag in RAW:
+            if tag in ("svg", "math") and attrs.endswith("/"):
+                continue
             if lower is None:
                 lower = page.lower()
             close = lower.find(f"</{tag}", at)
@@ -166,14 +195,16 @@ def parse(page: str) -> tuple[list[Node], list[int], list[str]]:
                 pop_to(k)
             if stack[-1].tag == "head" and tag in ("article", "main", "section", "div", "p"):
                 pop_to(len(stack) - 1)
-        attrs = m["attrs"] if m["tag"] else m["attrs2"]
         top, number = stack[-1], len(parent)
         parent.append(top.number)
-        tags.append(tag)
-        own = top.block if inline else (number, paths.setdefault((top.block[1], tag), len(paths) + 1), tag)
+        furniture, telling, own_class = _kind(tag, attrs, top.article)
+        named = top.named
+        if telling:
+            out.named[number], named = top.named, number
+        own = top.block if inline else (number, paths.setdefault((top.block[1], tag, own_class, named), len(paths) + 1), tag)
         opened[tag] += 1
-        stack.append(_Open(tag, number, top.furniture or _is_furniture(tag, attrs, top.article), top.article or tag in ("article", "main"), top.link or tag == "a", own))
-    return nodes, parent, tags
+        stack.append(_Open(tag, number, top.furniture or furniture, top.article or tag in ("article", "main"), top.link or tag == "a", named, own))
+    return out
 
 
 def _blocks(nodes: list[Node]) -> list[tuple[str, Node]]:
@@ -194,77 +225,109 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(padded, KERNEL, mode="valid")
 
 
-def content(blocks: list[tuple[str, Node]], parent: list[int], tags: list[str]) -> list[str]:
-    """The blocks that belong to the article."""
-    if not blocks:
-        return []
+def _suspects(blocks: list[tuple[str, Node]], named: dict[int, int]) -> set[int]:
+    """Elements whose telling name counts, with those inside them: all, but for
+    those that hold nearly all of the page's text."""
+    own: dict[int, float] = defaultdict(float)
+    for t, n in blocks:
+        own[n.named] += len(t) * (1 - 0.9 * n.link)
+    total = sum(own.values())
+    chains = {e: [] for e in own}
+    for e in own:
+        x = e
+        while x:
+            chains[e].append(x)
+            x = named[x]
+    counted = {x for c in chains.values() for x in c}
+    while counted:
+        free = sum(v for e, v in own.items() if not counted.intersection(chains[e]))
+        if free >= UNNAMED * total:
+            break
+        outer: dict[int, float] = defaultdict(float)
+        for e, v in own.items():
+            last = [x for x in chains[e] if x in counted]
+            if last:
+                outer[last[-1]] += v
+        most = max(outer, key=lambda x: (outer[x], -x))
+        if free and outer[most] < NAMED_LEAST:
+            break
+        counted.discard(most)
+    return {e for e, c in chains.items() if counted.intersection(c)}
+
+
+def path_ratios(blocks: list[tuple[str, Node]]) -> tuple[dict[int, float], dict[int, float]]:
+    """Characters per block and punctuation per block of every path."""
     length, punct, count = defaultdict(float), defaultdict(float), defaultdict(int)
-    linked = defaultdict(float)
     for t, n in blocks:
         length[n.path] += len(t)
         punct[n.path] += len(_PUNCT.findall(t))
         count[n.path] += 1
-        linked[n.path] += len(t) * n.link
-    text_ratio = np.array([length[n.path] / count[n.path] for _, n in blocks])
-    punct_ratio = np.array([(punct[n.path] + 0.1) / count[n.path] * (1 - 0.9 * linked[n.path] / length[n.path]) for _, n in blocks])
-    fused = np.sqrt(_smooth(text_ratio / text_ratio.max()) * _smooth(punct_ratio / punct_ratio.max()))
-    limit = min(THRESHOLD_STD * fused.std(), fused.max()) if len(blocks) > 1 else 0.0
-    above = defaultdict(float)
-    for (t, n), f in zip(blocks, fused, strict=True):
-        above[n.path] += len(t) * (f >= limit)
-    # of the paths above it, those that are far from the strongest ratio are not content by themselves
-    strength = {p: np.sqrt(length[p] / count[p] * (punct[p] + 0.1) / count[p] * (1 - 0.9 * linked[p] / length[p])) * np.sqrt(count[p]) for p in length}
-    most = max(strength.values())
-    chosen = {p for p in length if above[p] >= 0.5 * length[p] and strength[p] >= 0.05 * most}
-    # characters of chosen text under each element; the deepest that holds nearly all is the article
-    under = [0.0] * len(parent)
+    return {p: length[p] / count[p] for p in length}, {p: (punct[p] + 0.1) / count[p] for p in length}
+
+
+def content(blocks: list[tuple[str, Node]], page: Page) -> list[str]:
+    """The blocks that belong to the article."""
+    if not blocks:
+        return []
+    suspects = _suspects(blocks, page.named)
+    length, linked = defaultdict(float), defaultdict(float)
+    doubt: dict[int, float] = {}
     for t, n in blocks:
-        if n.path in chosen:
-            under[n.element] += len(t)
-    for e in range(len(parent) - 1, 0, -1):  # parents have smaller numbers
-        under[parent[e]] += under[e]
-    if not under[0]:
-        return [t for t, _ in blocks]
-    article = max(e for e, c in enumerate(under) if c >= CONTAINED * under[0])
-    while article and tags[article] not in CONTAINERS:
-        article = parent[article]
-    around, e = False, article
-    while e > 0 and not around:
-        if tags[e] in ("article", "main"):
-            article, around = e, True
-        e = parent[e]
-    # chosen text elsewhere stays too: whole articles, and what is listed among it
-    common = max(e for e, c in enumerate(under) if c >= under[0])
-    whole, inside, among = set(), set(), set()
-    for e in range(len(parent)):
-        if around and e == article or tags[e] in ("article", "main") and under[e] or parent[e] in whole:
-            whole.add(e)
-        if e == article or parent[e] in inside:
-            inside.add(e)
-        if e == common or parent[e] in among:
-            among.add(e)
-    return [
-        t
-        for t, n in blocks
-        if n.path in chosen
-        or n.element in whole
-        or (n.element in inside or n.element in among) and n.leaf in LISTED and linked[n.path] < 0.5 * length[n.path]
-    ]
+        length[n.path] += len(t)
+        linked[n.path] += len(t) * n.link
+        doubt[n.path] = NAMED if n.named in suspects else 1.0
+    text_ratio, punct_ratio = path_ratios(blocks)
+    trust = {p: doubt[p] * (1 - (1 - LINKED) * linked[p] / length[p]) for p in length}
+    own = {p: (text_ratio[p] * punct_ratio[p]) ** 0.5 * trust[p] for p in length}
+    paths = [n.path for _, n in blocks]
+    fused = np.sqrt(_smooth(np.array([text_ratio[p] for p in paths])) * _smooth(np.array([punct_ratio[p] for p in paths])))
+    smooth: dict[int, float] = defaultdict(float)
+    for (t, n), f in zip(blocks, fused.tolist(), strict=True):
+        smooth[n.path] += f * trust[n.path] * len(t) / length[n.path]
+    # the average over the text that is in no doubt
+    sure = [p for p in length if doubt[p] == 1.0] or list(length)
+    average = sum(own[p] * length[p] for p in sure) / sum(length[p] for p in sure)
+    core = {p for p in length if own[p] >= CORE * average}
+    under = [0] * len(page.parent)
+    for _, n in blocks:
+        under[n.element] += n.path in core
+    for e in range(len(page.parent) - 1, 0, -1):  # parents have smaller numbers
+        under[page.parent[e]] += under[e]
+    around = max(e for e, c in enumerate(under) if c == under[0])
+    inside = [False] * len(page.parent)
+    for e in range(len(page.parent)):
+        inside[e] = e == around or e > 0 and inside[page.parent[e]]
+
+    def wanted(n: Node) -> bool:
+        p = n.path
+        if own[p] >= ELSEWHERE * average:
+            return True
+        return inside[n.element] and (smooth[p] >= INSIDE * average or n.leaf in LISTED and doubt[p] == 1.0 and linked[p] < 0.5 * length[p])
+
+    out, kept = [], False
+    for t, n in reversed(blocks):
+        # a heading goes with what follows it
+        kept = wanted(n) or kept and n.leaf in HEADINGS and doubt[n.path] == 1.0
+        if kept:
+            out.append(t)
+    return out[::-1]
 
 
 def extract(page: str | None) -> str:
     """The main text of a page; empty for null, empty or text-free pages."""
     if not page:
         return ""
-    nodes, parent, tags = parse(page)
-    return "\n".join(content(_blocks(nodes), parent, tags))
+    parsed = parse(page)
+    return "\n".join(content(_blocks(parsed.nodes), parsed))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages``.
 
-    Null html gives the empty text; a null url stays null; repeated rows give
-    repeated results, other columns are not read.  One pass, no shuffle.
+    Null html gives the empty text; a null url or id stays null; repeated rows
+    give repeated results, other columns are not read, an empty table gives an
+    empty result.  Blocks of equal ratios are treated alike.  The time for a page
+    grows with its length, whatever its nesting.  One pass, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,95 @@
+"""Tag-path ratios decide: pages without semantic tags or telling names, and names that mislead."""
+
+import os
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from koine.llm import html_text
+from tests.oracle import SF_DIR
+
+S = [
+    "The council met on Tuesday, and the vote, which had been put off twice, was held at last.",
+    "Nobody in the room seemed surprised; the mayor, who had argued for the bridge since spring, only nodded.",
+    "Work begins in May, if the weather allows, and should end before the first frost of the year.",
+    "Traffic will be led over the old road, past the mill, where a second lane is being laid.",
+    "The cost, some four million in all, is shared by the town, the county and the railway.",
+    "Critics say that the sum is too low: the last such bridge, built in 1998, cost twice as much.",
+    "A hearing for those who live nearby is planned for June. Questions may be sent in until then.",
+    "In the end, as one of the engineers put it, a bridge is a promise, and promises cost money.",
+]
+
+
+def p(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+MENU = '<div class="x1"><a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sports</a> <a href="/w">Weather</a></div>'
+LIST = '<div class="x2"><ul><li><a href="/1">Ten things to know about bridges</a></li><li><a href="/2">The mill reopens</a></li><li><a href="/3">Frost in May</a></li></ul></div>'
+FOOT = '<div class="x9">Example Media 2020</div>'
+
+LABELLED = [
+    (f"<html><body>{MENU}<div class=c><h1>A bridge</h1>{p(S)}</div>{LIST}{FOOT}</body></html>", ["A bridge", *S]),
+    (f"<html><body><div id=w>{MENU}<div><div><h2>A bridge at last</h2>{p(S[:4])}<ul><li>May: work begins.</li><li>June: a hearing.</li></ul>{p(S[4:])}</div></div>{LIST}</div>{FOOT}</body></html>",
+     ["A bridge at last", *S[:4], "May: work begins.", "June: a hearing.", *S[4:]]),
+    (f"<table><tr><td>{MENU}{LIST}</td><td class=m><b>A bridge</b><br><br>{'<br><br>'.join(S)}</td></tr><tr><td colspan=2>{FOOT}</td></tr></table>", ["A bridge", *S]),
+    (f"<body>{MENU}<div><span>By a reporter</span><h1>A bridge</h1><p>{S[0]}</p><div class=y>{p(S[1:6])}<blockquote>{S[6]}</blockquote><p>{S[7]}</p></div></div>{LIST}{FOOT}", ["A bridge", *S]),
+    (f"<body>{LIST}<div><h1>A bridge</h1><p>{S[0]}</p>{LIST}{p(S[1:])}</div>{MENU}{FOOT}", ["A bridge", *S]),
+    (f"<body>{MENU}<section><h1>A bridge</h1>{p(S[:3])}</section><section><h2>What it costs</h2>{p(S[3:6])}</section><section><h2>What is next</h2>{p(S[6:])}</section>{LIST}{FOOT}",
+     ["A bridge", *S[:3], "What it costs", *S[3:6], "What is next", *S[6:]]),
+]
+
+
+def f1(found, true):
+    a, b = Counter(found.split()), Counter(true.split())
+    both = sum((a & b).values())
+    return 2 * both / (sum(a.values()) + sum(b.values()))
+
+
+@pytest.mark.parametrize("k", range(len(LABELLED)))
+def test_pages_without_telling_tags_or_names(k):
+    page, true = LABELLED[k]
+    assert f1(html_text.extract(page), "\n".join(true)) >= 0.95
+
+
+BODY = "<h1>A bridge</h1>" + p(S)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="side-by-side"><article>{BODY}</article></div>',
+        f'<div id="search-results-study"><main>{BODY}</main></div>',
+        f'<article><div class="legal-news">{BODY}</div></article>',
+        f'<article><svg width="1"/>{BODY}</article>',
+        f'<form action="/x">{MENU}<div>{BODY}</div></form>',
+        f'<body class="with-sidebar"><div class="comments"><article>{BODY}</article></div>{MENU}</body>',
+    ],
+)
+def test_misleading_names_lose_nothing(page):
+    assert html_text.extract(page) == "\n".join(["A bridge", *S])
+
+
+def test_telling_names_still_count_beside_an_article():
+    comments = '<div class="comments">' + p(["I like it, I really do. Thanks, all!"] * 40) + "</div>"
+    assert html_text.extract(f"<div>{BODY}{comments}</div>") == "\n".join(["A bridge", *S])
+
+
+def test_random_ratios_change_results(monkeypatch):
+    true = [html_text.extract(page) for page, _ in LABELLED]
+    rng = random.Random(1)
+    ratios = html_text.path_ratios
+    monkeypatch.setattr(html_text, "path_ratios", lambda blocks: tuple({p: 10 ** rng.uniform(-2, 2) for p in x} for x in ratios(blocks)))
+    assert sum(html_text.extract(page) != t for (page, _), t in zip(LABELLED, true, strict=True)) > len(LABELLED) // 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the tables are not here")
+def test_registered_pages_without_their_article_tag(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect() if r["html"]]
+    scores = []
+    for page in pages:
+        plain = re.sub(r' class="ad"', "", page.replace("<article", "<div").replace("</article", "</div"))
+        scores.append(f1(html_text.extract(plain), html_text.extract(page)))
+    assert sum(s >= 0.95 for s in scores) >= 0.8 * len(scores)
