@@ -7,22 +7,27 @@ then places every block before its deadline, so up to any slot a source is
 less than one block away from its share.
 
 Weights are taken exactly, as fractions of whole numbers, so the bound holds
-however long the mixture is.  Windows of such weights rarely repeat, so one
-task walks through all blocks (a heap entry per source, a step per block) and
-writes each one's slot; documents find it by source and block.  Ranks come from
-counts per (source, hash bucket) plus ranks inside a bucket, so a source that
-holds a third of all rows is spread over many tasks.
-
-No document is left out: a source that ends leaves its later slots idle, and
-the deviation bound holds up to the first end.
+however long the mixture is.  Slots repeat after the weights' common
+denominator; tasks lay out segments of whole periods, none waiting for another
+(a period longer than the mixture is one segment).  Ranks come from counts per
+(source, hash bucket) plus ranks inside a bucket, so a source that holds a third
+of all rows is spread over many tasks.
+
+No document is left out.  A source that ends leaves its later slots idle; once
+sources of half the weight have ended, the rest start a new phase with weights
+in the same proportions.  The deviation bound holds up to the first end, and
+for the sources that are left within each phase.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
-from math import inf, lcm
+from itertools import islice
+from math import gcd, inf, lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -33,11 +38,14 @@ from koine.sources.scratch import written
 
 #: Slots of a period of rounded weights.
 RESOLUTION = 1000
-#: No slot beyond it waits for a release: numbers stay BIGINT.
-LAST_SLOT = 1 << 62
 BLOCK_ROWS = 16
-#: Rows of a source that are ranked together, about.
+#: Rows of a source that are ranked together, about, and bits of the buckets that are summed together.
 BUCKET_ROWS = 1_000
+SUM_BITS = 12
+#: Parts of the whole that tempered weights are made of.
+GRAIN = 1 << 20
+#: Slots of a segment, about.
+SEGMENT = 1 << 18
 #: Blocks whose slots are handed over together.
 STEP_ROWS = 1 << 16
 
@@ -58,36 +66,88 @@ def apportion(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[s
     return slots
 
 
-def exact(weights: list[float]) -> list[int]:
-    """Whole numbers in exactly the proportions of the weights, as written in decimals."""
-    parts = [Fraction(repr(float(w))) for w in weights]
+def exact(weights: list[float | Fraction]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights, floats as written in decimals."""
+    parts = [w if isinstance(w, Fraction) else Fraction(repr(float(w))) for w in weights]
     d = lcm(*{p.denominator for p in parts})
     return [p.numerator * (d // p.denominator) for p in parts]
 
 
-def placements(parts: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
-    """Earliest deadline first: source, block (from 0) and slot of every block,
-    in slot order.  Source ``i`` has the weight ``parts[i] / sum(parts)`` and ends
-    after ``blocks[i]`` blocks."""
+def earliest_deadline_first(parts: list[int], start: int = 0) -> Iterator[tuple[int, int, int]]:
+    """Source, block (from 0) and slot of every block from slot ``start`` on, in
+    slot order, without end.  Source ``i`` has the weight ``parts[i] / sum(parts)``;
+    ``start`` is a multiple of the period, so that no source is ahead or behind."""
     d = sum(parts)
-    done = [0] * len(parts)
-    waiting = [(0, i) for i, n in enumerate(blocks) if n > 0]  # a source's next block, by release
+    done = [start * p // d for p in parts]
+    waiting = [(start, i) for i in range(len(parts))]  # next blocks by release
     ready: list[tuple[int, int]] = []  # by deadline
-    t = 0
-    while waiting or ready:
-        if not ready:
-            t = max(t, min(waiting[0][0], LAST_SLOT))
-        while waiting and (waiting[0][0] <= t or not ready):
+    t = start
+    while True:
+        while waiting and waiting[0][0] <= t:
             _, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(done[i] + 1) * d // parts[i]), i))
         due, i = heapq.heappop(ready)
-        if due <= t < LAST_SLOT:
+        if due <= t:
             raise AssertionError("a deadline was missed")
         yield i, done[i], t
-        done[i] += 1
         t += 1
-        if done[i] < blocks[i]:
-            heapq.heappush(waiting, (done[i] * d // parts[i], i))
+        done[i] += 1
+        heapq.heappush(waiting, (done[i] * d // parts[i], i))
+
+
+def period(parts: list[int]) -> int:
+    """Slots after which every source has exactly its share."""
+    return sum(parts) // gcd(*parts)
+
+
+def segments(parts: list[int], length: int) -> Iterator[tuple[int, int]]:
+    """First slots and ends of whole periods, about ``SEGMENT`` slots each."""
+    one = period(parts)
+    size = one * max(1, SEGMENT // one)
+    for start in range(0, length, size):
+        yield start, min(length, start + size)
+
+
+def placed_by(parts: list[int], t: int) -> list[int]:
+    """How many blocks of each source lie before slot ``t``."""
+    d, one = sum(parts), period(parts)
+    whole = t - t % one
+    out = [whole * p // d for p in parts]
+    for i, _, _ in islice(earliest_deadline_first(parts), t - whole):
+        out[i] += 1
+    return out
+
+
+def phases(parts: list[int], blocks: list[int]) -> Iterator[tuple[list[int], list[int], int, int]]:
+    """Phase by phase: the sources that have blocks left, how many each has
+    placed, the slots before the phase and its length.  A phase goes on until
+    sources of half of the weight have ended."""
+    done, before = [0] * len(parts), 0
+    alive = [i for i, n in enumerate(blocks) if n > 0]
+    while alive:
+        d = rest = sum(parts[i] for i in alive)
+        length = 0
+        for i in sorted(alive, key=lambda i: Fraction(blocks[i] - done[i], parts[i])):
+            rest -= parts[i]
+            length = -(-(blocks[i] - done[i]) * d // parts[i])
+            if 2 * rest <= d:
+                break
+        yield alive, [done[i] for i in alive], before, length
+        if not rest:
+            return
+        for i, n in zip(alive, placed_by([parts[i] for i in alive], length), strict=True):
+            done[i] = min(blocks[i], done[i] + n)
+        alive = [i for i in alive if done[i] < blocks[i]]
+        before += length
+
+
+def placements(parts: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Source, block (from 0) and slot of every block, in slot order.  Source
+    ``i`` has the weight ``parts[i] / sum(parts)`` and ends after ``blocks[i]`` blocks."""
+    for alive, placed, before, length in phases(parts, blocks):
+        for k, j, t in islice(earliest_deadline_first([parts[i] for i in alive]), length):
+            if placed[k] + j < blocks[alive[k]]:
+                yield alive[k], placed[k] + j, before + t
 
 
 def schedule(slots: dict[str, int]) -> dict[str, list[int]]:
@@ -99,37 +159,42 @@ def schedule(slots: dict[str, int]) -> dict[str, list[int]]:
     return out
 
 
-def tempered(counts: dict[str, int], temperature: float = 2.0) -> dict[str, float]:
-    """Target weights in proportion to ``count ** (1 / temperature)``."""
-    return {k: n ** (1.0 / temperature) for k, n in counts.items() if n}
+def tempered(counts: dict[str, int], temperature: float = 2.0) -> dict[str, Fraction]:
+    """Target weights in proportion to ``count ** (1 / temperature)``, to the
+    nearest of ``GRAIN`` parts of the whole but at least one."""
+    found = {k: n ** (1.0 / temperature) for k, n in counts.items() if n}
+    total = sum(found.values())
+    return {k: Fraction(max(1, round(w / total * GRAIN)), GRAIN) for k, w in found.items()}
 
 
 def _slots(counts: DataFrame, given: dict[str, float], block_rows: int) -> DataFrame:
-    """``src, block, slot`` for all blocks of the sources in ``counts``, by one task."""
+    """``src, block, slot`` for all blocks of the sources in ``counts``: one task
+    lists the segments, many lay them out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((r["src"], r["count"]) for b in batches for r in b.to_pylist())
-        names = [k for k, _ in found]
+        names, blocks = [k for k, _ in found], [-(-n // block_rows) for _, n in found]
         target = tempered(dict(found))
-        if given:
-            scale = sum(target.values())
-            target = {k: given.get(k, w / scale) for k, w in target.items()}
-        steps = placements(exact([target[k] for k in names]) if names else [], [-(-n // block_rows) for _, n in found])
-        rows: list[tuple[str, int, int]] = []
-
-        def batch() -> pa.RecordBatch:
-            src, block, slot = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], ["src", "block", "slot"])
-
-        for i, j, t in steps:
-            rows.append((names[i], j, t))
-            if len(rows) == STEP_ROWS:
-                yield batch()
-                rows.clear()
-        if rows:
-            yield batch()
-
-    return counts.select("src", "count").repartition(1).mapInArrow(releasing(run), "src string, block long, slot long")
+        target = {k: given.get(k, w) for k, w in target.items()}
+        parts = exact([target[k] for k in names]) if names else []
+        for alive, placed, before, length in phases(parts, blocks):
+            own = [parts[i] for i in alive]
+            blob = zlib.compress(json.dumps([[names[i] for i in alive], own, placed, [blocks[i] for i in alive]]).encode())
+            for start, end in segments(own, length):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (before, start, end)] + [pa.array([blob], pa.binary())], ["before", "start", "end", "sources"])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            names, parts, placed, blocks = json.loads(zlib.decompress(row["sources"]))
+            laid = islice(earliest_deadline_first(parts, row["start"]), row["end"] - row["start"])
+            steps = ((names[k], placed[k] + j, row["before"] + t) for k, j, t in laid if placed[k] + j < blocks[k])
+            while rows := list(islice(steps, STEP_ROWS)):
+                src, block, slot = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], ["src", "block", "slot"])
+
+    plan = written(counts.select("src", "count").repartition(1).mapInArrow(releasing(listed), "before long, start long, end long, sources binary"), "segments")
+    many = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return plan.repartition(many, "before", "start").mapInArrow(releasing(lay), "src string, block long, slot long")
 
 
 def _placed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows: int, id_col: str, source_col: str) -> DataFrame:
@@ -148,9 +213,13 @@ def _placed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows
     # bucket bits: the length in bits of count div BUCKET_ROWS, at least one
     bits = F.greatest(F.lit(1), F.length(F.bin(F.floor(F.col("count") / BUCKET_ROWS)))).cast("int")
     rows = rows.join(counts.select("src", bits.alias("bits")), "src").withColumn("bucket", F.expr("shiftrightunsigned(h, 64 - bits)"))
-    # a row per bucket
-    ahead = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy("src", "bucket").count().withColumn("start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
+    # a row per bucket; sums over buckets in two levels, so that no task has all of a source's
+    sizes = rows.groupBy("src", "bucket").count().withColumn("part", F.expr(f"shiftrightunsigned(bucket, {SUM_BITS})"))
+    sizes = written(sizes, "buckets")
+    ahead = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    parts = sizes.groupBy("src", "part").agg(F.sum("count").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(ahead("src", "part")), F.lit(0))).drop("n")
+    starts = sizes.withColumn("own", F.coalesce(F.sum("count").over(ahead("src", "part", "bucket")), F.lit(0))).join(parts, ["src", "part"])
+    starts = starts.select("src", "bucket", (F.col("base") + F.col("own")).alias("start"))
     inside = W.partitionBy("src", "bucket").orderBy("h", "id")
     ranked = rows.withColumn("in", F.row_number().over(inside) - 1).join(starts, ["src", "bucket"])
     rank = F.col("start") + F.col("in")
@@ -162,25 +231,26 @@ def mixed(
     docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source"
 ) -> DataFrame:
     """``docs`` with ``block, slot, offset``: the block of its source, the
-    block's slot in the mixture and the place in the block (columns of these
-    names in ``docs`` give way).
+    block's slot in the mixture and the place in the block (as ``mix_block`` and
+    so on where ``docs`` has a column of that name).
 
     ``weights`` gives each source's target; those missing in it, and all when it
     is None, get tempered weights of their row counts over the whole table.
     Within a source the order is by hash of the id, ties by id; rows that repeat
     an id follow one another.  A null source is a source of its own.  An empty
-    table gives an empty result.
+    table gives an empty result; no text is read.
     """
     out = _placed(docs, weights, block_rows, id_col, source_col)
-    own = [c for c in docs.columns if c not in ("block", "slot", "offset")]
-    return out.select(*[F.col("row").getField(c).alias(c) for c in own], "block", "slot", "offset")
+    added = [F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in ("block", "slot", "offset")]
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *added)
 
 
 def in_order(
     docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source"
 ) -> DataFrame:
-    """``docs`` with the same columns, its rows in the order of the mixture
-    (files in slot order, rows of a file too)."""
+    """``docs`` with the same columns, whatever their names, its rows in the order
+    of the mixture (files in slot order, rows of a file too).  Nulls, ties,
+    repeated rows and empty tables are as in ``mixed``; long texts move whole."""
     placed = written(_placed(docs, weights, block_rows, id_col, source_col), "mixed")
     n = max(1, placed.rdd.getNumPartitions())
     return placed.repartitionByRange(n, "slot", "offset").sortWithinPartitions("slot", "offset").select("row.*")
