@@ -8,6 +8,7 @@ by ``chunk`` moves compressed text only.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,31 +24,47 @@ PENDING_BYTES = 16 << 20
 #: Bytes of text per fingerprint, about, and the fewest fingerprints that a chunk should send to a group.
 WORD_BYTES = 6
 LEAST_SENT = 32
+#: Quantiles found at once.
 MAX_BOUNDS = 1024
 
 
 class Ranges:
-    """Chunks as ranges of an integer id: a smaller chunk has smaller ids only.
+    """Chunks as ranges of an integer id: a smaller range has smaller ids only.
 
-    The bounds are quantiles of the ids (at most ``MAX_BOUNDS``), each range cut
-    further into equal parts, so the table of bounds does not grow with the data.
+    ``bounds`` are quantiles of the ids by bytes of text.  An id that fills
+    several quantiles by itself gets a range of its own, whose rows are spread
+    over as many chunks (``spread``).
     """
 
-    def __init__(self, low: int, high: int, bounds: list[int], parts: int):
-        inner = sorted({b for b in bounds if low < b <= high})
-        self.edges = np.array([low, *inner, min(high + 1, (1 << 63) - 1)], dtype=np.int64)
-        self.parts = parts
+    def __init__(self, low: int, high: int, bounds: list[int]):
+        own = Counter(b for b in bounds if low <= b <= high)
+        edges = {low: 1} | {b: 1 for b in own if b > low}
+        for b, n in own.items():
+            if n > 1:
+                edges[b] = n
+                if b < high:
+                    edges.setdefault(b + 1, 1)
+        self.edges = np.array(sorted(edges), dtype=np.int64)
+        copies = np.array([edges[e] for e in sorted(edges)], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(copies)])
 
     @property
     def chunks(self) -> int:
-        return (len(self.edges) - 1) * self.parts
+        return int(self.first[-1])
 
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        r = np.clip(np.searchsorted(self.edges, ids, side="right") - 1, 0, len(self.edges) - 2)
-        # in floating point, where ids far apart do not overflow; rounding keeps the order
-        low, high = self.edges[r].astype(np.float64), self.edges[r + 1].astype(np.float64)
-        part = (ids.astype(np.float64) - low) / np.maximum(high - low, 1.0) * self.parts
-        return r * self.parts + np.clip(part, 0, self.parts - 1).astype(np.int64)
+    def of(self, ids: np.ndarray, spread: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """The chunk of each row; ``spread`` gives numbers for some rows by which
+        those of one id are dealt to its chunks."""
+        r = np.clip(np.searchsorted(self.edges, ids, side="right") - 1, 0, len(self.edges) - 1)
+        chunk = self.first[r].copy()
+        many = np.flatnonzero(self.first[r + 1] - chunk > 1)
+        if len(many) and spread:
+            chunk[many] += spread(many) % (self.first[r + 1] - self.first[r])[many]
+        return chunk
+
+    def range_of(self, chunk: np.ndarray) -> np.ndarray:
+        """The range that a chunk belongs to."""
+        return np.searchsorted(self.first, chunk, side="right") - 1
 
 
 def text_size(docs: DataFrame, text_col: str) -> tuple[int, int]:
@@ -72,14 +89,34 @@ def layout(size: int, parallel: int) -> tuple[int, int]:
     return chunks, groups
 
 
-def id_ranges(docs: DataFrame, id_col: str, chunks: int) -> Ranges | None:
-    """``chunks`` or a few more ranges of about as many rows; None without ids."""
+def id_ranges(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> Ranges | None:
+    """About ``chunks`` ranges of about as many bytes of text; None without ids.
+
+    Bounds are quantiles over all rows, a row counting once and once more for
+    each average text that its own has the bytes of.  More than ``MAX_BOUNDS``
+    are found in two levels: quantiles of each coarse range, by as many tasks.
+    The list has 8 bytes per chunk (``layout``: some 7 MB at 100 TB).
+    """
+    rows, size = text_size(docs, text_col)
+    weight = F.lit(1) + F.floor(F.coalesce(F.octet_length(text_col), F.lit(0)) * rows / max(size, 1)).cast("int")
+    ids = docs.select(F.explode(F.array_repeat(F.col(id_col), weight)).alias("id"))
+    cuts = lambda n: F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), F.lit(10_000))
     k = min(chunks, MAX_BOUNDS)
-    at = F.array(*[F.lit(i / k) for i in range(1, k)]) if k > 1 else F.array(F.lit(0.5))
-    got = docs.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.percentile_approx(id_col, at, F.lit(10_000)).alias("q")).first()
+    got = ids.agg(F.min("id").alias("low"), F.max("id").alias("high"), cuts(k).alias("q")).first()
     if got["low"] is None:
         return None
-    return Ranges(got["low"], got["high"], got["q"] if k > 1 else [], -(-chunks // k))
+    bounds = list(got["q"]) if k > 1 else []
+    if chunks > k:
+        coarse = Ranges(got["low"], got["high"], bounds)
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = np.asarray(b.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(coarse.of(own), pa.int64()), b.column(0)], ["part", "id"])
+
+        each = ids.mapInArrow(releasing(number), "part long, id long").groupBy("part").agg(cuts(-(-chunks // k)).alias("q"))
+        bounds += [x for r in each.collect() for x in r["q"]]
+    return Ranges(got["low"], got["high"], sorted(bounds))
 
 
 class Packer:

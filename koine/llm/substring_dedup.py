@@ -2,82 +2,108 @@
 
 The suffixes of all texts (one at every word) are split by variable-length
 prefixes of words: a prefix that too many suffixes share is extended by a word
-until its share is small, so that every group's subtree fits in memory.  Only
-what lies at depth ``WINDOW`` matters: a node there with leaves in several
-documents is a repeat, and nodes that continue it by a word make it a longer,
-maximal one.  A subtree is therefore kept as the sorted fingerprints of its
-paths of ``WINDOW`` words; equal neighbours are the deep internal nodes.
-
-1. Chunks are ranges of the document id, so a smaller chunk holds smaller ids.
-2. A chunk sends each group its distinct paths, compressed; copies inside a
-   chunk are combined first, so a passage that a third of all documents share
-   is one entry per chunk.
-3. A group merges its chunks' sorted paths and answers each chunk one bit per
-   path: does a smaller chunk have it?
-4. A chunk joins the bits with its own first occurrences, marks the covered
-   words and returns its documents.
-
-A path's fingerprint has 64 bits and only meets others of its group (whose
-prefix is hashed independently), so a false repeat among ``n`` windows of a
-group has odds of about ``n * n / 2**65``.
+until its share is small, so that every group's subtree fits in memory.  A
+subtree is built to depth ``WINDOW``: an internal node there with leaves in
+several documents is a repeat, and such nodes at consecutive words of a text
+join to a longer, maximal one.
+
+1. Chunks are ranges of the document id, so a smaller range holds smaller ids.
+2. Most suffixes end in leaves of their own above that depth.  A chunk sends
+   each group the sorted fingerprints of its distinct paths of ``WINDOW`` words,
+   and learns which of them other ranges have, too; only these suffixes can
+   reach a node.  Copies inside a chunk are combined first, so a passage that a
+   third of all documents share is one entry per chunk.
+3. A chunk sends the words of those paths.  The group sorts them, which is its
+   suffix array; runs of equal labels are the nodes, with their leaf sets.  Each
+   chunk is told at which of its leaves the node has a leaf of a smaller range.
+4. A chunk joins this with its own repeats, marks the covered words and returns
+   its documents.
+
+Paths are the same when their words are; fingerprints only select.  Two of them
+that collide by accident (odds of about ``n * n / 2**65`` for ``n`` paths in a
+group) can hide a repeat but never remove a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from koine.llm.chunks import WORD_BYTES, id_ranges, layout, packed, text_of, text_size, unpacked
+from koine.llm.chunks import id_ranges, layout, packed, text_of, text_size, unpacked
 from koine.llm.tables import table
-from koine.llm.text import buffers, combine, mix, pack_bytes, pack_sorted, releasing, releasing_cogroup, releasing_group, slices, strings, U, unpack_bytes, unpack_sorted, Words, words
+from koine.llm.text import (
+    buffers, combine, mix, pack_bytes, pack_rows, pack_sorted, releasing, releasing_cogroup, releasing_group, slices, strings, U, unpack_bytes, unpack_rows, unpack_sorted, Words, words,
+)
+from koine.sources.scratch import written
 
 WINDOW = 13
-MAX_SHARES = 1 << 16
-#: Occurrences in a slice of text below which a prefix is not counted.
-SLICE_LEAST = 24
+#: Suffixes whose prefixes are counted at once, some 28 MB of text, and occurrences among them below which one is not reported.
+COUNT_ROWS = 4 << 20
+LEAST = 2
+#: Labels in a task that builds a subtree.
+LABELS = 1 << 20
 
 
 def _prefix(w: Words, at: np.ndarray, depth: int) -> np.ndarray:
     return combine([w.hashes[at + j] for j in range(depth)], depth)
 
 
-def heavy_prefixes(docs: DataFrame, text_col: str, size: int, groups: int, window: int) -> dict[int, np.ndarray]:
-    """By length, the prefixes with more than 1 / (4 ``groups``) of the suffixes
-    that ``size`` bytes of text have, counted over the whole corpus (a slice of
-    text leaves out those with less than half of that share in it, or a handful
-    of occurrences, which cannot make a group too large).  Of each length there
-    can be some 12 per group, and ``groups`` counts as ``MAX_SHARES`` at most,
-    so the list is bounded whatever the input."""
-    share = 1.0 / (4 * min(groups, MAX_SHARES))
+def heavy_prefixes(docs: DataFrame, text_col: str, groups: int, window: int) -> dict[int, np.ndarray]:
+    """By length, the prefixes with more than 1 / (2 ``groups``) of all suffixes,
+    counted over the whole corpus.
+
+    A task counts ``COUNT_ROWS`` suffixes at once and leaves out prefixes with
+    less than half of that share, or fewer than ``LEAST``, among them.  What is
+    missing in a sum is thus under half of the share, or one per count; with as
+    many suffixes in a count as there are groups that is less than a group's.
+    There are at most two prefixes per group and length, so the list grows as
+    ``groups`` does (``layout``: the square root of the text)."""
+    share = 1.0 / (2 * groups)
+
+    def counted(hashes: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+        own, at = np.concatenate(hashes), np.concatenate(at)
+        depth, prefix, count = [0], [np.zeros(1, U)], [np.array([len(at)])]
+        least = max(LEAST, share / 2 * len(at))
+        for d in range(1, window):
+            values, where, n = np.unique(combine([own[at + j] for j in range(d)], d), return_inverse=True, return_counts=True)
+            heavy = n >= least
+            if not heavy.any():
+                break
+            depth += [d] * int(heavy.sum())
+            prefix.append(values[heavy])
+            count.append(n[heavy])
+            at = at[heavy[where]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(depth, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)), pa.array(np.concatenate(count).astype(np.int64))], ["d", "p", "n"]
+        )
 
     def run(batches):
+        hashes, starts, words_held, held = [], [], 0, 0
         for b in batches:
             text = strings(b.column(0))
             for a, z in slices(text):
                 w = words(text, a, z)
                 _, at = w.windows(window)
-                depth, prefix, count = [], [np.zeros(0, U)], [np.zeros(0, np.int64)]
-                least = max(SLICE_LEAST, share / 2 * len(at))
-                for d in range(1, window):
-                    values, where, n = np.unique(_prefix(w, at, d), return_inverse=True, return_counts=True)
-                    heavy = n >= least
-                    if not heavy.any():
-                        break
-                    depth += [d] * int(heavy.sum())
-                    prefix.append(values[heavy])
-                    count.append(n[heavy])
-                    at = at[heavy[where]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(depth, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)), pa.array(np.concatenate(count).astype(np.int64))], ["d", "p", "n"]
-                )
-
-    counts = docs.select(text_col).mapInArrow(releasing(run), "d int, p long, n long").groupBy("d", "p").agg(F.sum("n").alias("n"))
-    got = counts.where(F.col("n") > share * size / WORD_BYTES).select("d", "p").collect()
-    return {d: np.sort(np.array([r["p"] for r in got if r["d"] == d], dtype=np.int64).view(U)) for d in {r["d"] for r in got}}
+                hashes.append(w.hashes)
+                starts.append(at + words_held)
+                words_held += len(w.hashes)
+                held += len(at)
+                if held >= COUNT_ROWS:
+                    yield counted(hashes, starts)
+                    hashes, starts, words_held, held = [], [], 0, 0
+        if held:
+            yield counted(hashes, starts)
+
+    counts = written(docs.select(text_col).mapInArrow(releasing(run), "d int, p long, n long").groupBy("d", "p").agg(F.sum("n").alias("n")), "prefixes")
+    total = counts.where("d = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
+    got = counts.where((F.col("d") > 0) & (F.col("n") > share * total)).select("d", "p").toArrow()
+    depth, prefix = np.asarray(got["d"]), np.asarray(got["p"]).view(U)
+    return {int(d): np.sort(prefix[depth == d]) for d in np.unique(depth)}
 
 
 def _group_of(w: Words, at: np.ndarray, heavy: dict[int, np.ndarray], groups: int, window: int) -> np.ndarray:
@@ -94,14 +120,17 @@ def _group_of(w: Words, at: np.ndarray, heavy: dict[int, np.ndarray], groups: in
 
 
 class Chunk:
-    """A chunk's documents by id and its distinct paths, ordered by group and fingerprint."""
+    """A chunk's documents by id and its distinct paths, ordered by group and
+    fingerprint; with ``labels`` also their words."""
 
-    def __init__(self, packs, heavy: dict[int, np.ndarray], groups: int, window: int):
+    def __init__(self, packs, heavy: dict[int, np.ndarray], groups: int, window: int, labels: bool = False):
         rows = unpacked(packs)
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending")]))
+        self.window = window
         self.ids = np.asarray(rows["doc_id"].combine_chunks())
         self.text = text_of(rows)
         path, group, start, doc, first = [], [], [], [], [np.zeros(1, np.int64)]
+        plain, low, high, size = [], [], [], 0
         for a, z in slices(self.text):
             w = words(self.text, a, z)
             fp, at = w.windows(window)
@@ -110,9 +139,16 @@ class Chunk:
             start.append(at + first[-1][-1])
             doc.append(np.searchsorted(w.first, at, side="right") - 1 + a)
             first.append(w.first[1:] + first[-1][-1])
+            if labels:
+                joined, starts, ends = w.joined()
+                plain.append(joined)
+                low.append(starts + size)
+                high.append(ends + size)
+                size += len(joined)
         self.first = np.concatenate(first)
         cat = lambda x, t: np.concatenate(x).astype(t, copy=False) if x else np.zeros(0, t)
         self.start, self.doc = cat(start, np.int64), cat(doc, np.int64)
+        self.plain, self.low, self.high = cat(plain, np.uint8), cat(low, np.int64), cat(high, np.int64)
         path, group = cat(path, U), cat(group, np.int32)
         # the group goes into the order, not only the fingerprint: equal paths have equal groups
         self.paths, self.at, self.where = np.unique(path, return_index=True, return_inverse=True)
@@ -123,21 +159,44 @@ class Chunk:
 
     def parts(self):
         for g, a, z in zip(self.groups, self.cuts[:-1], self.cuts[1:], strict=True):
-            yield int(g), self.paths[self.order[a:z]]
+            yield int(g), self.order[a:z]
+
+    def labels(self, windows: np.ndarray) -> pa.Array:
+        """The words of some windows, one space between them."""
+        a = self.low[self.start[windows]]
+        size = self.high[self.start[windows] + self.window - 1] - a
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        data = self.plain[np.repeat(a - offsets[:-1], size) + np.arange(offsets[-1])]
+        return pa.Array.from_buffers(pa.large_binary(), len(windows), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
 
-    def covered(self, answers: dict[int, np.ndarray], window: int) -> np.ndarray:
+    def covered(self, answers: dict[int, np.ndarray]) -> np.ndarray:
         """Which words lie in a window that starts in a document of a smaller id."""
         seen = np.zeros(len(self.paths), dtype=bool)
-        for g, a, z in zip(self.groups, self.cuts[:-1], self.cuts[1:], strict=True):
-            if int(g) in answers:
-                seen[self.order[a:z]] = answers[int(g)][: z - a]
-        ids = self.ids[self.doc]
-        repeat = seen[self.where] | (ids > ids[self.at][self.where])
+        for g, own in self.parts():
+            if g in answers:
+                seen[own] = answers[g][: len(own)]
+        ids, model = self.ids[self.doc], self.at[self.where]
+        repeat = seen[self.where] | (ids > ids[model])
+        again = np.flatnonzero(repeat & (model != np.arange(len(model))))
+        # the words decide, here too
+        for k in range(0, len(again), LABELS):
+            part = again[k : k + LABELS]
+            repeat[part] = np.asarray(pc.equal(self.labels(part), self.labels(model[part])))
         n = int(self.first[-1])
-        marks = np.bincount(self.start[repeat], minlength=n + 1) - np.bincount(self.start[repeat] + window, minlength=n + 1)
+        marks = np.bincount(self.start[repeat], minlength=n + 1) - np.bincount(self.start[repeat] + self.window, minlength=n + 1)
         return np.cumsum(marks)[:n] > 0
 
 
+def nodes(labels: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves in the order of their labels, and where each node of equal labels begins."""
+    order = np.asarray(pc.sort_indices(labels)).astype(np.int64)
+    ordered = labels.take(pa.array(order))
+    new = np.ones(len(order), dtype=bool)
+    if len(order) > 1:
+        new[1:] = ~np.asarray(pc.equal(ordered.slice(1), ordered.slice(0, len(order) - 1)))
+    return order, np.flatnonzero(new)
+
+
 def _documents(text: pa.Array, ids: pa.Array, first: np.ndarray, covered: np.ndarray, with_text: bool) -> pa.Table:
     data, offsets = buffers(text)
     sums = np.concatenate([[0], np.cumsum(covered, dtype=np.int64)])
@@ -159,6 +218,23 @@ def _documents(text: pa.Array, ids: pa.Array, first: np.ndarray, covered: np.nda
     return pa.table(columns)
 
 
+_TOLD = "chunk int, grp int, n int, blob binary"
+_MET = "chunk int, grp int, n int, parts int, bits binary"
+_SHOWN = "chunk int, grp int, part int, n int, bits binary, labels binary"
+_ANSWER = "chunk int, grp int, n int, bits binary"
+_ARROW = {"int": pa.int32(), "binary": pa.binary()}
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.table([pa.array(list(c), _ARROW[t]) for (_, t), c in zip(fields, columns, strict=True)], names=[f for f, _ in fields])
+
+
+def _bits(blob, n: int) -> np.ndarray:
+    return np.unpackbits(unpack_bytes(blob, -(-n // 8)), count=n).astype(bool)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for each row; with ``with_text``
     also ``kept_text`` and ``spans``, the maximal runs of removed words as
@@ -186,45 +262,88 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     _, size = text_size(known, "text")
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks, groups = layout(size, parallel)
-    ranges = id_ranges(known, "doc_id", chunks)
+    ranges = id_ranges(known, "doc_id", "text", chunks)
     if ranges is None:
         return rest
-    heavy = heavy_prefixes(known, "text", size, groups, window)
+    heavy = heavy_prefixes(known, "text", groups, window)
 
     def chunk_of(b: pa.RecordBatch):
-        return ranges.of(np.asarray(b.column(0))), b
+        spread = lambda rows: np.array([zlib.crc32(t.as_buffer()) for t in b.column(1).take(pa.array(rows)).fill_null("")], dtype=np.int64)
+        return ranges.of(np.asarray(b.column(0)), spread), b
 
-    packs = packed(known, chunk_of)
+    packs = written(packed(known, chunk_of), "packs")
 
-    def paths(key, rows):
-        got = [(key[0].as_py(), g, len(p), pack_sorted(p)) for g, p in Chunk(rows["pack"], heavy, groups, window).parts()]
-        c, g, n, blob = zip(*got, strict=True) if got else ((), (), (), ())
-        return pa.table([pa.array(c, pa.int32()), pa.array(g, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())], names=["chunk", "grp", "n", "blob"])
+    def tell(key, rows):
+        c = Chunk(rows["pack"], heavy, groups, window)
+        return _table(_TOLD, [(key[0].as_py(), g, len(own), pack_sorted(c.paths[own])) for g, own in c.parts()])
 
-    def merge(key, rows):
+    def meet(key, rows):
+        """Which paths of each chunk another range has, too."""
         chunk, n = np.asarray(rows["chunk"]), np.asarray(rows["n"])
-        by = np.argsort(chunk, kind="stable")
         blobs = rows["blob"]
-        path = np.concatenate([unpack_sorted(blobs[int(k)].as_buffer(), int(n[k])) for k in by])
-        order = np.argsort(path, kind="stable")  # equal paths stay in the order of their chunks
-        again = np.zeros(len(path), dtype=bool)
-        again[order[1:]] = path[order[1:]] == path[order[:-1]]
-        ends = np.cumsum(n[by])
-        got = [(int(chunk[k]), np.packbits(bits)) for k, z in zip(by, ends, strict=True) if (bits := again[z - n[k] : z]).any()]
-        return pa.table(
-            [pa.array([c for c, _ in got], pa.int32()), pa.array([key[0].as_py()] * len(got), pa.int32()), pa.array([len(x) for _, x in got], pa.int32()), pa.array([pack_bytes(x) for _, x in got], pa.binary())],
-            names=["chunk", "grp", "n", "bits"],
-        )
+        path = np.concatenate([unpack_sorted(blobs[k].as_buffer(), int(n[k])) for k in range(len(n))])
+        at = np.repeat(ranges.range_of(chunk), n)
+        _, where = np.unique(path, return_inverse=True)
+        low, high = np.full(len(path), len(ranges.edges)), np.zeros(len(path), dtype=np.int64)
+        np.minimum.at(low, where, at)
+        np.maximum.at(high, where, at)
+        shared = (low < high)[where]
+        parts = -(-int(shared.sum()) // LABELS)
+        ends = np.cumsum(n)
+        got = [(int(c), key[0].as_py(), int(k), parts, pack_bytes(np.packbits(bits))) for c, k, z in zip(chunk, n, ends, strict=True) if (bits := shared[z - k : z]).any()]
+        return _table(_MET, got)
+
+    def show(key, left, right):
+        """The words of the paths that others have."""
+        if not left.num_rows or not right.num_rows:
+            return _table(_SHOWN, [])
+        c = Chunk(left["pack"], heavy, groups, window, labels=True)
+        met = {r["grp"]: r for r in right.to_pylist()}
+        got = []
+        for g, own in c.parts():
+            if g not in met:
+                continue
+            shared = _bits(met[g]["bits"], len(own))
+            part = (c.paths[own] >> U(32)) % U(met[g]["parts"])
+            for p in np.unique(part[shared]).tolist():
+                mine = shared & (part == p)
+                labels = pack_rows(pa.RecordBatch.from_arrays([c.labels(c.at[own[mine]])], ["label"]))
+                got.append((key[0].as_py(), g, int(p), len(own), pack_bytes(np.packbits(mine)), labels))
+        return _table(_SHOWN, got)
+
+    def grow(key, rows):
+        """A group's subtree: which leaves have a leaf of a smaller range at their node."""
+        chunk = np.asarray(rows["chunk"])
+        own = [unpack_rows(x.as_buffer())["label"].combine_chunks() for x in rows["labels"]]
+        size = np.array([len(x) for x in own])
+        order, node = nodes(pa.concat_arrays(own))
+        at = np.repeat(ranges.range_of(chunk), size)[order]
+        least = np.repeat(np.minimum.reduceat(at, node), np.diff(np.append(node, len(at))))
+        again = np.zeros(len(at), dtype=bool)
+        again[order] = at > least
+        got, end = [], 0
+        for c, n, k, bits in zip(chunk.tolist(), rows["n"].to_pylist(), size.tolist(), rows["bits"], strict=True):
+            mine = again[end : end + k]
+            end += k
+            if mine.any():
+                full = np.zeros(n, dtype=bool)
+                full[_bits(bits.as_buffer(), n)] = mine
+                got.append((c, key[0].as_py(), n, pack_bytes(np.packbits(full))))
+        return _table(_ANSWER, got)
 
     def apply(key, left, right):
         if not left.num_rows:
             return pa.schema([("doc_id", pa.int64())]).empty_table()
-        c = Chunk(left["pack"], heavy, groups, window)
-        answers = {g: np.unpackbits(unpack_bytes(b, n)).astype(bool) for g, n, b in zip(*(right[x].to_pylist() for x in ("grp", "n", "bits")), strict=True)}
-        return _documents(c.text, pa.array(c.ids), c.first, c.covered(answers, window), with_text)
-
-    sent = packs.groupBy("chunk").applyInArrow(releasing_group(paths), "chunk int, grp int, n int, blob binary")
-    answers = sent.groupBy("grp").applyInArrow(releasing_group(merge), "chunk int, grp int, n int, bits binary")
+        c = Chunk(left["pack"], heavy, groups, window, labels=True)
+        answers: dict[int, np.ndarray] = {}
+        for g, n, b in zip(*(right[x].to_pylist() for x in ("grp", "n", "bits")), strict=True):
+            answers[g] = answers.get(g, False) | _bits(b, n)
+        return _documents(c.text, pa.array(c.ids), c.first, c.covered(answers), with_text)
+
+    told = packs.groupBy("chunk").applyInArrow(releasing_group(tell), _TOLD)
+    met = told.groupBy("grp").applyInArrow(releasing_group(meet), _MET)
+    shown = packs.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(releasing_cogroup(show), _SHOWN)
+    answers = shown.groupBy("grp", "part").applyInArrow(releasing_group(grow), _ANSWER)
     done = packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(releasing_cogroup(apply), schema)
     return done.unionByName(rest)
 

@@ -120,6 +120,16 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.hashes = hash_words(data, self.starts, self.ends)
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words with one space between those of a text, and where each starts and ends there."""
+        word = ~SPACE[self.data]
+        keep = word.copy()
+        keep[1:] |= word[:-1]
+        place = np.cumsum(keep)
+        plain = self.data[keep]
+        plain[SPACE[plain]] = 0x20
+        return plain, place[self.starts] - 1, place[self.ends - 1]
+
     def windows(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of all runs of ``k`` words inside one text, and the
         index of each run's first word."""

@@ -139,8 +139,7 @@ def repeats_brute(docs, window=13):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_repeats(spark, seed, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SLICE_LEAST", 2)  # heavy prefixes at this size, too
+def test_repeats(spark, seed):
     docs = corpus(seed, 80) + [(20_000 + k, "the the the of the " * 12 + f"end{k % 3}") for k in range(20)]
     got = [(*r[:5], [(s["start"], s["end"]) for s in r["spans"]]) for r in substring_dedup.remove_repeats(frame(spark, docs), with_text=True).collect()]
     assert sorted(got, key=str) == sorted(repeats_brute(docs), key=str)
@@ -167,9 +166,36 @@ def test_ranges_keep_the_order_of_ids():
     from koine.llm.chunks import Ranges
 
     far = np.array([-(1 << 63), -5, 0, 1, 2, 3, 1 << 40, (1 << 63) - 1], dtype=np.int64)
-    for r in (Ranges(int(far[0]), int(far[-1]), [0, 2, 1 << 40], 7), Ranges(0, 3, [], 2), Ranges(5, 5, [5], 3)):
+    for r in (Ranges(int(far[0]), int(far[-1]), [0, 2, 1 << 40]), Ranges(0, 3, []), Ranges(5, 5, [5]), Ranges(0, 9, [1, 2, 2, 2, 5]), Ranges(3, 3, [3] * 4), Ranges(0, (1 << 63) - 1, [(1 << 63) - 1] * 2)):
         got = r.of(far)
         assert (np.diff(got) >= 0).all() and got.min() >= 0 and got.max() < r.chunks
+    hot = Ranges(0, 9, [1, 2, 2, 2, 5])
+    ids = np.array([0, 1, 2, 2, 2, 3, 5, 9])
+    assert hot.of(ids, lambda rows: rows).tolist() == [0, 1, 4, 2, 3, 5, 6, 6] and hot.range_of(np.arange(7)).tolist() == [0, 1, 2, 2, 2, 3, 4]
+
+
+def test_ids_clustered_in_ranges_fill_their_chunks(spark):
+    import numpy as np
+
+    from koine.llm.chunks import id_ranges
+
+    ids = [(k // 1000 << 40) + k % 1000 for k in range(6000)]  # time-prefixed
+    docs = spark.createDataFrame([(i, "x" * (50_000 if n == 7 else 20)) for n, i in enumerate(ids)], "doc_id long, text string")
+    for bounds in (60, 3000):
+        r = id_ranges(docs, "doc_id", "text", bounds)
+        counts = np.bincount(r.of(np.array(ids)), minlength=r.chunks)
+        assert 0.7 * bounds <= r.chunks <= bounds + 2 and counts.max() <= 4 * 6000 / bounds
+
+
+def test_one_id_over_several_chunks(spark, monkeypatch):
+    from koine.llm import chunks
+
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 2_000)
+    rng = random.Random(5)
+    shared = " ".join(f"p{k}" for k in range(30))
+    docs = [(7 if k % 3 == 0 else k, " ".join(f"w{rng.randrange(400)}" for _ in range(40)) + (" " + shared if k % 4 == 0 else "")) for k in range(1, 240)]
+    got = [tuple(r) for r in substring_dedup.remove_repeats(frame(spark, docs)).collect()]
+    assert sorted(got) == sorted(x[:4] for x in repeats_brute(docs))
 
 
 def test_layout_grows_with_the_square_root():
