@@ -71,7 +71,7 @@ def _combine_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         if not b.num_rows:
             continue
         if last is not None:
-            b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            b = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(last.columns, b.columns, strict=True)], b.schema.names)
         b = _combined(b)
         last = b.slice(b.num_rows - 1)  # what follows may equal it
         yield b.slice(0, b.num_rows - 1)

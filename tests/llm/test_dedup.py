@@ -69,6 +69,20 @@ def test_tree_of_many_runs(spark):
     assert got == {k: len(range(k, 500, 9)) for k in range(9)}
 
 
+def test_runs_of_many_batches(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, 7)
+    try:
+        rows = [(k, f"text {k % 40}") for k in range(300)]
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(frame(spark, rows).repartition(5)).collect()}
+        assert got == {k: (k % 40, len(range(k % 40, 300, 40))) for k in range(300)}
+        plan = exact_dedup.exact_groups(frame(spark, rows).repartition(5))._jdf.queryExecution().executedPlan().toString()
+        # two rounds over five runs: sorted runs before, between and after the exchanges
+        assert plan.count("MapInArrow") >= 3 and plan.count("Sort [run") >= 3
+    finally:
+        spark.conf.unset(size)
+
+
 def near_brute(docs):
     lower = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
     rows = []
