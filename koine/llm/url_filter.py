@@ -26,27 +26,46 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-COMMENT = r"(?s)<!--.*?-->"
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 _REL = r"""(?<![\w-])rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""
 CANONICAL = rf"""(?is)<link\b(?=[^>]*{_REL})[^>]*(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b)[^>]*(?<![\w-])content\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def with_parts(df: DataFrame, url_col: str, host: str = "host", path: str = "path") -> DataFrame:
     """Adds host and path of a URL; both are empty without ``://`` or for null."""
     rest = F.when(F.instr(F.col(url_col), "://") > 0, F.expr(f"substring(`{url_col}`, instr(`{url_col}`, '://') + 3)"))
     raw = F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 1)
-    lower = F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lower = F.translate(raw, UPPER, LOWER)
     return df.withColumn(host, F.coalesce(lower, F.lit(""))).withColumn(
         path, F.coalesce(F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 2), F.lit(""))
     )
 
 
 def resource(url: Column) -> Column:
-    """A URL without scheme and fragment, host in lower case: the node of the alias graph."""
+    """A URL without scheme and fragment, A-Z of the host in lower case: the node of the alias graph."""
     rest = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"(?s)^.*?://([^#]*)", 1))
     host = F.regexp_extract(rest, r"(?s)^([^/?]*)", 1)
-    return F.concat(F.lower(host), F.substr(rest, F.length(host) + 1))
+    return F.concat(F.translate(host, UPPER, LOWER), F.substr(rest, F.length(host) + 1))
+
+
+def without_dots(url: Column) -> Column:
+    """An absolute URL with the segments ``.`` and ``..`` of its path resolved."""
+    head, path, tail = (F.regexp_extract(url, r"(?s)^([^:/?#]*://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(
+        parts,
+        empty,
+        lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
+    )
+    # a dot segment at the end leaves its slash
+    closed = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    resolved = F.concat(head, F.lit("/"), F.array_join(kept, "/"), closed, tail)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), resolved).otherwise(url)
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -64,8 +83,8 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         .when(F.col("_to").startswith("/"), F.concat(origin, F.col("_to")))
         .otherwise(F.concat(folder, F.when(~folder.endswith("/"), F.lit("/")).otherwise(F.lit("")), F.col("_to")))
     )
-    out = each.select("_url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("_target"))
-    return out.select(F.col("_url").alias("from_url"), F.col("_target").alias("to_url"))
+    plain = F.regexp_replace(target, "&(?:amp|#38|#[xX]26);", "&")
+    return each.select(F.col("_url").alias("from_url"), without_dots(plain).alias("to_url"))
 
 
 def judge(urls: DataFrame, rules: DataFrame, key: str, host: str = "host", path: str = "path") -> DataFrame:
@@ -75,7 +94,7 @@ def judge(urls: DataFrame, rules: DataFrame, key: str, host: str = "host", path:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     each = urls.where(F.col(host) != "").select(F.col(key), F.col(path).alias("_path"), F.explode(suffixes).alias("_host"))
     r = rules.where("host is not null and path is not null and action in ('allow', 'block')").select(
-        F.lower("host").alias("_host"), F.col("path").alias("_rule_path"), "action"
+        F.translate("host", UPPER, LOWER).alias("_host"), F.col("path").alias("_rule_path"), "action"
     )
     hit = each.join(r, "_host").where(F.col("_path").startswith(F.col("_rule_path")))
     rule = F.concat("_host", "_rule_path")
@@ -88,8 +107,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = No
 
     ``edges`` (``from_url, to_url``) adds redirects known from elsewhere to
     those in the pages' html.  Null or malformed URLs have empty parts, no rule
-    and no aliases and are allowed.  Rows with equal ids or URLs are judged
-    alike, each once; further columns of ``pages`` are ignored.
+    and no aliases and are allowed; null html declares nothing.  Rows with equal
+    ids or URLs are judged alike, each once; of rules of one length that fit, an
+    allowing one wins.  Whole html is searched, however long, in the task that
+    reads it.  Further columns of ``pages`` are ignored, whatever their names; an
+    empty table gives an empty result, no rules leave every verdict to aliases.
     """
     known = links(pages, url_col, html_col)
     if edges is not None:

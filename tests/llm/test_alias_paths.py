@@ -1,0 +1,69 @@
+"""Dot segments, hosts that differ beyond ASCII, unclosed comments; links against a plain reading of html."""
+
+import random
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+from koine.llm import url_filter
+
+
+def links(spark, rows):
+    return sorted((r["from_url"], r["to_url"]) for r in url_filter.links(spark.createDataFrame(rows, "url string, html string")).collect())
+
+
+def test_dot_segments(spark):
+    base = "http://h.net/a/b/c"
+    targets = ["../x", "./y", "../../../z", "../..", ".", "..", "/p/../q?r=../s", "d/./e/../f", "http://k.org/a/../b#../c", "//k.org/./m", "../é/..", "g..", "..g", "a?b=/../c"]
+    got = dict()
+    for f, t in zip(targets, targets, strict=True):
+        [(_, got[f])] = links(spark, [(base, f'<link rel="canonical" href="{t}">')])
+    whole = {"http://k.org/a/../b#../c": "http://k.org/b#../c", "//k.org/./m": "http://k.org/m"}  # urljoin leaves these as they are
+    assert got == {t: urljoin(base, t) for t in targets} | whole
+
+
+def test_hosts_beyond_ascii_are_kept_apart(spark):
+    rows = [(1, "http://ÜBER.net/a", '<link rel=canonical href="http://bad.net/">'), (2, "http://über.net/a", "<p>")]
+    rules = spark.createDataFrame([("block", "bad.net", "/")], "action string, host string, path string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
+class Plain(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.found = []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "link" and "canonical" in (a.get("rel") or "").lower().split() and a.get("href"):
+            self.found.append(a["href"])
+        if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh" and "url=" in (a.get("content") or "").lower():
+            content = a["content"]
+            self.found.append(content[content.lower().index("url=") + 4 :].strip().strip("'\""))
+
+
+def test_declarations_against_a_parser(spark):
+    rng = random.Random(3)
+    rows, expected = [], []
+    for k in range(60):
+        html = []
+        for _ in range(rng.randrange(5)):
+            to = rng.choice(["http://t.net/%d" % rng.randrange(9), "/p/%d" % rng.randrange(9), "q%d" % rng.randrange(9), "../r"])
+            q = rng.choice("\"'")
+            other = "'" if q == '"' else '"'
+            html.append(
+                rng.choice(
+                    [
+                        f"<link rel={q}canonical{q} href={q}{to}{q}>", f"<link href={q}{to}{q} rel={q}alternate canonical{q} />", f"<LINK REL=canonical HREF={to}>",
+                        f"<meta http-equiv={q}refresh{q} content={q}0; url={to}{q}>", f"<meta content={q}5;URL={other}{to}{other}{q} http-equiv=Refresh>",
+                        f"<!-- <link rel=canonical href={to}> -->", f"<link rel=stylesheet href={to}>", f"<a rel=canonical href={to}>x</a>", f"<meta name=refresh content={q}0; url={to}{q}>", "<p>text</p>",
+                    ]
+                )
+            )
+        url, page = f"http://s.net/d/{k}", "".join(html)
+        plain = Plain()
+        plain.feed(page)
+        expected += [(url, t) for t in {urljoin(url, x) for x in plain.found}]
+        rows.append((url, page + ("<!-- <link rel=canonical href=/never>" if k % 3 == 0 else "")))
+    got = links(spark, rows)
+    assert sorted(set(got)) == sorted(expected) and expected
