@@ -98,7 +98,7 @@ def id_ranges(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> Range
     The list has 8 bytes per chunk (``layout``: some 7 MB at 100 TB).
     """
     rows, size = text_size(docs, text_col)
-    weight = F.lit(1) + F.floor(F.coalesce(F.octet_length(text_col), F.lit(0)) * rows / max(size, 1)).cast("int")
+    weight = F.lit(1) + F.floor(F.coalesce(F.octet_length(text_col), F.lit(0)) / F.lit(max(size, 1) / max(rows, 1))).cast("int")
     ids = docs.select(F.explode(F.array_repeat(F.col(id_col), weight)).alias("id"))
     cuts = lambda n: F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), F.lit(10_000))
     k = min(chunks, MAX_BOUNDS)
