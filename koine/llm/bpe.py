@@ -1,14 +1,17 @@
 """Byte-level BPE encoding and decoding with tree concatenation.
 
-Texts are encoded in batches by the ``tokenizers`` library.  A long text is
-halved at places where the pre-tokeniser always cuts (a space after a character
-that is no white space), so its parts are encoded on their own and concatenate
-exactly.  Where a text has no such place, a long unsplit run, the run itself is
-halved down to leaves; leaves are encoded on their own, in one batch, and at
-every join of the tree a window around the seam is encoded again and grows until its first
-token equals the left side's and its last token the right side's.  Adjacent
-tokens then are pairs that the merges produce, on both sides and inside the
-window, which makes the sequence the encoding of the whole run.
+Texts are encoded in batches by the ``tokenizers`` library.  A long text is cut
+into leaves wherever their size says, all encoded in one batch; level by level
+neighbours are joined: a window around the seam is encoded again and grows on
+either side until it ends where the pre-tokeniser always cuts (a space after a
+character that is no white space) and its first and last tokens are those that
+its sides have there.  What lies outside the window does not depend on the cut,
+so the sequence is the encoding of both parts together.
+
+Where a text has no such places, a long run that is not split before the merges,
+the run itself is cut down to leaves, which are joined likewise on the merges:
+adjacent tokens then are pairs that the merges produce, on both sides and inside
+the window, which makes the sequence the encoding of the whole run.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,13 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from koine.llm.tables import table
 from koine.llm.text import SPACE, buffers, releasing, slices, strings
 
-#: Longest text encoded in one piece, and longest run without a place to cut, in characters.
+#: Characters in a leaf of a long text, longest run without a place to cut, and characters in a leaf of such a run.
 PIECE = 16_384
 RUN = 1_024
-#: Bytes in a leaf of the tree.
 LEAF = 256
 BATCH_BYTES = 512 << 10
-_CUT = re.compile(r"(?<=\S) ")
 
 
 Tokens = list[tuple[int, str]]
@@ -80,7 +80,7 @@ def encode_run(run: str, leaves: Callable[[list[str]], list[Tokens]], encode: Ca
 
 
 class Codec:
-    """Encoder and decoder for the tokenizer file at ``path``.
+    """Encoder and decoder for the tokenizer file at ``path``, of a byte-level vocabulary.
 
     Batches, of pieces and of leaves, are encoded in parallel if the environment
     sets TOKENIZERS_PARALLELISM (for tasks of several cores)."""
@@ -94,7 +94,16 @@ class Codec:
         t.no_truncation()
         self.special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.names = [str(i) for i in range(t.get_vocab_size(with_added_tokens=True) + 1)]
+        vocabulary = t.get_vocab(with_added_tokens=True)
+        most = max(vocabulary.values(), default=-1) + 1
+        self.names = [str(i) for i in range(most)]
+        # of each token: its bytes, whether it begins with a space, whether it ends with an ASCII character that is no white space
+        self.size, self.opens, self.closes = [0] * most, [False] * most, [False] * most
+        for token, i in vocabulary.items():
+            special = i in self.special.values()
+            self.size[i] = len(token.encode()) if special else len(token)
+            self.opens[i] = not special and token.startswith("\u0120")  # the byte alphabet's space
+            self.closes[i] = "!" <= token[-1:] <= "~"
 
     def _merges(self, run: str) -> Tokens:
         return [(x.id, x.value) for x in self.tokenizer.model.tokenize(run)]
@@ -120,21 +129,44 @@ class Codec:
                 out += ids
         return out
 
-    @staticmethod
-    def _halves(text: str) -> list[str]:
-        """Parts of at most PIECE characters, or without a place to cut."""
-        cuts = [m.start() for m in _CUT.finditer(text)] if len(text) > PIECE else []
-        out, todo = [], [(0, len(text), 0, len(cuts))]
-        while todo:
-            at, end, low, high = todo.pop()  # with the cuts[low:high] inside
-            if end - at <= PIECE or low == high:
-                out.append(text[at:end])
-                continue
-            k = bisect_left(cuts, (at + end) // 2, low, high)
-            if k == high or k > low and (at + end) // 2 - cuts[k - 1] < cuts[k] - (at + end) // 2:
-                k -= 1  # the nearest to the middle
-            todo += [(cuts[k], end, k + 1, high), (at, cuts[k], low, k)]
-        return out
+    def _safe(self, before: int, after: int) -> bool:
+        """Whether the pre-tokeniser always cuts between two tokens."""
+        return self.opens[after] and self.closes[before]
+
+    def join(self, left: list[int], right: list[int], data: bytes, seam: int) -> list[int]:
+        """The encoding of two neighbouring parts of ``data`` from theirs, which meet at byte ``seam``."""
+        if not left or not right:
+            return left + right
+        i = j = 1
+        while True:
+            while i < len(left) and not self._safe(left[-i - 1], left[-i]):
+                i += 1
+            while j < len(right) and not self._safe(right[j - 1], right[j]):
+                j += 1
+            low = seam - sum(self.size[x] for x in left[len(left) - i :])
+            high = seam + sum(self.size[x] for x in right[:j])
+            window = self._ids(data[low:high].decode())
+            left_agrees = i == len(left) or window[0] == left[-i]
+            right_agrees = j == len(right) or window[-1] == right[j - 1]
+            if left_agrees and right_agrees:
+                return left[: len(left) - i] + window + right[j:]
+            i, j = min(len(left), i * (1 if left_agrees else 2)), min(len(right), j * (1 if right_agrees else 2))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def grown(self, pieces: list[str], coded: list[list[int]]) -> list[int]:
+        """The encoding of a whole text from those of its pieces."""
+        blobs = [x.encode() for x in pieces]
+        if any(sum(self.size[i] for i in ids) != len(b) for ids, b in zip(coded, blobs, strict=True)):
+            return self._ids("".join(pieces))  # not a byte-level vocabulary
+        data = b"".join(blobs)
+        ends = np.cumsum([len(b) for b in blobs]).tolist()
+        level = list(zip(coded, ends, strict=True))  # tokens and where the part ends
+        while len(level) > 1:
+            joined = [(self.join(x, y, data, seam), end) for (x, seam), (y, end) in zip(level[::2], level[1::2])]
+            level = joined + level[2 * len(joined) :]
+        return level[0][0]
 
     def encode(self, texts: pa.Array | list[str]) -> list[list[int]]:
         """Token ids of each text."""
@@ -145,7 +177,7 @@ class Codec:
             if unsplit:
                 plan.append(self._unsplit(t))
             else:
-                own = self._halves(t)
+                own = [t[k : k + PIECE] for k in range(0, len(t), PIECE)] or [""]
                 plan.append((len(pieces), len(own)))
                 pieces += own
         coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -156,7 +188,7 @@ class Codec:
             elif p[1] == 1:
                 out.append(coded[p[0]].ids)
             else:
-                out.append([i for k in range(p[0], sum(p)) for i in coded[k].ids])
+                out.append(self.grown(pieces[p[0] : sum(p)], [c.ids for c in coded[p[0] : sum(p)]]))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -183,8 +215,8 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
     of every whole text; one row per input row.
 
     ``tokenizer`` is the path of a tokenizer file that every executor can read.
-    Null text is encoded as the empty text: no tokens, digests of nothing.
-    Repeated rows give repeated results; other columns are not read, but for
+    Null text is encoded as the empty text: no tokens, digests of nothing.  A
+    null id stays null; texts of any length are encoded whole.  Repeated rows give repeated results; other columns are not read, but for
     ``keep``, which are returned as they are; an empty table gives an empty result.
     """
     path = tokenizer or default_path()

@@ -12,4 +12,3 @@ FEW = " ".join(f"w{k}" for k in range(2_000))
 def test_encoding_equals_the_library(text):
     codec = bpe.Codec(bpe.default_path())
     assert codec.encode([text]) == [codec.tokenizer.encode(text, add_special_tokens=False).ids]
-    assert "".join(codec._halves(text)) == text
