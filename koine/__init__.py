@@ -2,13 +2,13 @@
 
 from koine.database import Database
 from koine.domain import Domain
-from koine.errors import ArityError, EngineError, ForeignIdError, GrammarError, TypeMismatchError, UnboundVariableError
+from koine.errors import ArityError, CollisionError, EngineError, ForeignIdError, GrammarError, TypeMismatchError, UnboundVariableError
 from koine.functions.ids import MapId, MapSignature, TermId, TypeId
 from koine.plans.ast import Apply, Rule, Union, Var, equivalence, rewrite
 from koine.plans.parse import parse_equivalence, parse_rewrite, parse_rule, parse_signature, parse_term
 
 __all__ = [
-    "Apply", "ArityError", "Database", "Domain", "EngineError", "ForeignIdError", "GrammarError", "MapId", "MapSignature", "Rule", "TermId", "TypeId",
+    "Apply", "ArityError", "CollisionError", "Database", "Domain", "EngineError", "ForeignIdError", "GrammarError", "MapId", "MapSignature", "Rule", "TermId", "TypeId",
     "TypeMismatchError", "UnboundVariableError", "Union", "Var", "equivalence", "parse_equivalence", "parse_rewrite", "parse_rule", "parse_signature",
     "parse_term", "rewrite",
 ]

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from koine.errors import ArityError, ForeignIdError, TypeMismatchError
+from koine.errors import ArityError, CollisionError, ForeignIdError, TypeMismatchError
 from koine.functions.ids import (
     MAX_TYPES, MapId, MapSignature, TermId, TypeId, integer_column, integer_id, integer_key, named_column, named_id, term_hash,
 )
@@ -33,12 +33,16 @@ class Database:
         self._types: list[TypeId] = []
         self._maps: list[MapId] = []
         self._stores: dict[int, MapStore] = {}
-        self._keys: dict[int, list[DataFrame]] = {}
+        self._keys: dict[int, list[str]] = {}
+        #: Columns of keys that have been loaded but not yet been asked for.
+        self._unread_keys: dict[int, list[tuple[DataFrame, str]]] = {}
         self._named: dict[int, dict[int, str]] = {}
+        self._checked: dict[int, int] = {}
         self._fresh_keys = 0
         #: Rows created on the driver, by map and arguments; those not yet in a part.
         self._known: dict[tuple[int, tuple[int, ...]], int] = {}
         self._buffer: dict[int, dict[tuple[int, ...], int]] = {}
+        self._buffer_ids: set[int] = set()
         self._pending: list[tuple[int, int, int]] = []
         self._parent: dict[int, int] = {}
         self._types_of: dict[int, TypeId] = {}
@@ -90,7 +94,8 @@ class Database:
             value = integer_id(type_id.index, int(key))
         else:
             value = named_id(type_id.index, str(key))
-            self._named.setdefault(type_id.index, {})[value] = str(key)
+            if self._named.setdefault(type_id.index, {}).setdefault(value, str(key)) != str(key):
+                raise CollisionError(f"two keys of type {type_id.name or type_id.index} have the same id")
         self._types_of[value] = type_id
         return TermId(self.id, value, type_id)
 
@@ -118,6 +123,9 @@ class Database:
         value = self._row(term.map, args)
         if value is None:
             value = term_hash(term.map.index, args)
+            if value in self._buffer_ids:
+                raise CollisionError(f"two terms of map {term.map.name or term.map.index} have the same id")
+            self._buffer_ids.add(value)
             self._buffer.setdefault(term.map.index, {})[args] = value
             self._known[term.map.index, args] = value
         self._types_of[value] = term.map.signature.output
@@ -195,27 +203,44 @@ class Database:
         return (integer_column if type_id.integer else named_column)(type_id.index, F.col(column))
 
     def load_constants(self, df: DataFrame, key: str, type_id: TypeId) -> None:
-        """Remember the keys of a type's constants, so that results can show them."""
+        """Remember the keys of a type's constants at once; ``load_facts`` does
+        so when they are first asked for."""
         self._local(type_id)
         if not type_id.integer:
-            rows = df.select(self._ids(type_id, key).alias("term_id"), F.col(key).cast("string").alias("key")).distinct()
-            path = self.folder.write(rows)
-            self._keys.setdefault(type_id.index, []).append(self.spark.read.schema("term_id long, key string").parquet(path))
+            rows = df.select(self._ids(type_id, key).alias("term_id"), F.col(key).cast("string").alias("key"))
+            self._keys.setdefault(type_id.index, []).append(self.folder.write(rows.distinct()))
 
-    def load_facts(self, df: DataFrame, m: MapId, columns: list[str], value: str | None = None) -> int:
+    def check_keys(self, type_id: TypeId) -> None:
+        """Raise if two keys of a type that have been loaded share an id."""
+        self._local(type_id)
+        if (known := self._key_rows(type_id)) is not None:
+            if known.groupBy("term_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").limit(1).count():
+                raise CollisionError(f"two keys of type {type_id.name or type_id.index} have the same id")
+
+    def load_facts(self, df: DataFrame, m: MapId, columns: list[str], value: str | None = None, keys_later: bool = True) -> int:
         """Insert a row of ``m`` for each row of keys in ``columns``; with
         ``value`` the map's value there becomes equal to that key's constant.
-        How many rows were absent before."""
+        How many rows were absent before.
+
+        String keys are read from ``df`` again when results first show them;
+        with ``keys_later`` false they are kept at once, for frames that do not
+        last, as those of streams.  A null key, or a whole number that is not in
+        ``[0, 2**48)``, is an error and nothing is inserted."""
         self._local(m)
         if len(columns) != m.arity:
             raise ArityError(f"map {m.name} takes {m.arity} arguments, not {len(columns)}")
         self.flush()
+        for t, c in zip((*m.signature.inputs, *([m.signature.output] if value else [])), (*columns, *([value] if value else [])), strict=True):
+            if not t.integer:
+                self._unread_keys.setdefault(t.index, []).append((df, c))
+                if not keys_later:
+                    self._key_rows(t)
         store = self._stores[m.index]
         args = [self._ids(t, c).alias(a) for t, c, a in zip(m.signature.inputs, columns, store.args, strict=True)]
         rows = df.select(*args, *([self._ids(m.signature.output, value).alias("_value")] if value else []))
         rows = self.roots.canonical(rows, store.args)
         if not value:
-            return insert(store, [rows])
+            return insert(store, [rows], self.roots)
         rows = self.roots.canonical(rows, ["_value"])
         first = rows.groupBy(*store.args).agg(F.min("_value").alias("out")) if store.args else rows.agg(F.min("_value").alias("out")).where("out is not null")
         if store.rows(store.base, store.delta, store.fresh):
@@ -231,22 +256,52 @@ class Database:
         for index, rows in self._buffer.items():
             store = self._stores[index]
             store.add(self.spark.createDataFrame([(*a, v) for a, v in rows.items()], store.schema))
-        self._buffer = {}
-
-    def keys(self, type_id: TypeId, column: str = "term_id") -> DataFrame | None:
-        frames = list(self._keys.get(type_id.index, []))
+        self._buffer, self._buffer_ids = {}, set()
+
+    def live(self) -> set[str]:
+        """Paths of the tables that the database needs."""
+        out = {p for paths in self._keys.values() for p in paths}
+        for s in self._stores.values():
+            out |= s.paths()
+        return out | ({self.roots.path} if self.roots.path else set())
+
+    def vacuum(self) -> None:
+        """Remove tables that have been replaced.  Frames that were read before
+        the last change of the database cannot be computed any more."""
+        self.folder.drop(0, self.folder.written(), self.live())
+
+    def _key_rows(self, type_id: TypeId) -> DataFrame | None:
+        """Ids and keys of a type, as loaded; both are the same for a key loaded twice."""
+        for df, c in self._unread_keys.pop(type_id.index, []):
+            self.load_constants(df, c, type_id)
+        frames = []
+        if paths := self._keys.get(type_id.index):
+            frames.append(self.spark.read.schema("term_id long, key string").parquet(*paths))
         if named := self._named.get(type_id.index):
             frames.append(self.spark.createDataFrame(list(named.items()), "term_id long, key string"))
         if not frames:
             return None
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
+    def keys(self, type_id: TypeId, column: str = "term_id") -> DataFrame | None:
+        """Ids and keys of a type's constants; that two share an id is an error."""
+        if self._keys_changed(type_id):
+            self.check_keys(type_id)
+        out = self._key_rows(type_id)
+        if out is None:
+            return None
         # a class shows its smallest key
         return self.roots.canonical(out, ["term_id"]).groupBy("term_id").agg(F.min("key").alias("key")).select(F.col("term_id").alias(column), "key")
 
+    def _keys_changed(self, type_id: TypeId) -> bool:
+        """Whether keys have been loaded since they were last checked."""
+        now = len(self._keys.get(type_id.index, ())) + len(self._unread_keys.get(type_id.index, ()))
+        before, self._checked[type_id.index] = self._checked.get(type_id.index), now
+        return now > 0 and now != before
+
     def decode(self, df: DataFrame, columns: dict[str, TypeId]) -> DataFrame:
         """Replace ids by keys; a class shows its smallest key, a created term null."""
+        order = df.columns
         for c, t in columns.items():
             if t.integer:
                 df = df.withColumn(c, F.when(F.col(c) < F.lit(1 << 61), integer_key(F.col(c))))
@@ -254,7 +309,7 @@ class Database:
                 df = df.join(k, c, "left").withColumn(c, F.col("key")).drop("key")
             else:
                 df = df.withColumn(c, F.lit(None).cast("string"))
-        return df
+        return df.select(*order)
 
     def read(self, m: MapId, names: list[str] | None = None, value: str | None = None) -> DataFrame:
         """A map's rows as keys: its arguments under ``names``, and its value if asked for."""

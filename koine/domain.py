@@ -12,6 +12,10 @@ from koine.plans.ast import Rule, Union, Var, check_local, type_of, walk
 from koine.plans.compile import CompiledRule, compile_rule
 
 
+#: Tables written between two removals of those no longer needed.
+SWEEP = 24
+
+
 class Domain:
     """A database with rules.  All rows count as new to a new domain."""
 
@@ -30,9 +34,15 @@ class Domain:
         """Run all rules ``times`` times, each time on what was there before, and
         rebuild after each.  Ends early when nothing changes any more, which
         gives the same result; returns the iterations run."""
-        done = 0
+        done, first = 0, self.database.folder.written()
+        swept = first
         while done < times and self._once():
             done += 1
+            # tables that this run has written and replaced again
+            upto = self.database.folder.written()
+            if upto - swept > SWEEP:
+                self.database.folder.drop(first, upto, self.database.live())
+                swept = upto
         return done
 
     def saturate(self, limit: int = 1000) -> int:
@@ -77,7 +87,7 @@ class Domain:
         first = not self._unconditional_done
         self._unconditional_done = True
         for index, rows in inserts.items():
-            changed |= insert(stores[index], rows) > 0
+            changed |= insert(stores[index], rows, db.roots) > 0
         for s in stores.values():
             s.end()
         if inserts:

@@ -21,5 +21,9 @@ class UnboundVariableError(EngineError):
     """An action uses a variable that no pattern binds."""
 
 
+class CollisionError(EngineError):
+    """Two keys or two terms have the same hash."""
+
+
 class GrammarError(EngineError):
     """Text that is no rule, rewrite, equivalence, term or signature."""

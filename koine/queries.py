@@ -67,28 +67,26 @@ def tc_bounded(spark, sf_dir):
     return _closure(spark, _heap(spark, sf_dir), CLOSURE, 3)
 
 
-def tc_linear(spark, sf_dir):
-    """A linear rule over the turns of conversations."""
-    turns = _table(spark, sf_dir, "conversations").selectExpr("conv_id * 1024 + turn as k")
-    edges = turns.join(turns.selectExpr("k - 1 as k", "k as b"), "k").selectExpr("k as a", "b")
-    out = _closure(spark, edges, LINEAR)
-    return out.selectExpr("src div 1024 as conv_id", "src % 1024 as src", "dst % 1024 as dst")
+def _turns(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
+    """Conversations with a key ``k`` per turn, pairs ``k, b`` of turns that follow
+    one another, and the number of keys kept for a conversation."""
+    c = _table(spark, sf_dir, "conversations")
+    width = (c.agg(F.max("turn")).first()[0] or 0) + 2  # a gap after the last turn
+    c = c.withColumn("k", F.col("conv_id") * width + F.col("turn"))
+    return c, c.select("k").join(c.selectExpr("k - 1 as k", "k as b"), "k"), width
 
 
-def _cycles(spark, sf_dir, rows: str) -> DataFrame:
-    c = _table(spark, sf_dir, "customer")
-    n = c.count()
-    return _closure(spark, c.where(rows).selectExpr("c_custkey as a", f"(7 * c_custkey + 3) % {n} as b"), CLOSURE)
+def tc_linear(spark, sf_dir):
+    """A linear rule over the turns of conversations."""
+    _, edges, width = _turns(spark, sf_dir)
+    out = _closure(spark, edges.selectExpr("k as a", "b"), LINEAR)
+    return out.selectExpr(f"src div {width} as conv_id", f"src % {width} as src", f"dst % {width} as dst")
 
 
 def tc_cyclic(spark, sf_dir):
-    """Closure of cycles, many of them broken."""
-    return _cycles(spark, sf_dir, "c_custkey % 3 <> 0")
-
-
-def tc_cyclic_all(spark, sf_dir):
-    """Closure of the cycles of all customers."""
-    return _cycles(spark, sf_dir, "true")
+    """Closure of cycles."""
+    c = _table(spark, sf_dir, "customer")
+    return _closure(spark, c.selectExpr("c_custkey as a", f"(7 * c_custkey + 3) % {c.count()} as b"), CLOSURE)
 
 
 def incremental(spark, sf_dir):
@@ -137,23 +135,16 @@ def join_star_skip(spark, sf_dir):
     return w.db.read(m, ["n_nationkey", "s_suppkey"])
 
 
-def _triangles(spark, lines: DataFrame) -> DataFrame:
+def triangle(spark, sf_dir):
+    """A cyclic query: directed triangles over the keys of lines."""
     w = _World(spark, "node", "unit")
+    lines = _table(spark, sf_dir, "lineitem").selectExpr("l_partkey as a", "l_suppkey as b")
     w.db.load_facts(lines, w.map("r", "(node, node) -> unit"), ["a", "b"])
     m = w.map("tri", "(node, node, node) -> unit")
     w.run(["r('x, 'y), r('y, 'z), r('z, 'x) -> tri('x, 'y, 'z)"])
     return w.db.read(m, ["x", "y", "z"])
 
 
-def triangle(spark, sf_dir):
-    """A cyclic query: directed triangles of a small dense graph."""
-    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
-    return _triangles(spark, lines.selectExpr("l_partkey % 97 as a", "l_suppkey % 97 as b"))
-
-
-def triangle_all(spark, sf_dir):
-    """Directed triangles over the keys of all lines."""
-    return _triangles(spark, _table(spark, sf_dir, "lineitem").selectExpr("l_partkey as a", "l_suppkey as b"))
 
 
 def cross(spark, sf_dir):
@@ -178,7 +169,6 @@ def const_filter(spark, sf_dir):
     """A constant in a pattern; string keys."""
     w = _World(spark, "", "nation region unit")
     rows = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    w.db.load_constants(rows, "n_name", w.names["nation"])
     w.db.load_facts(rows, w.map("lies", "(nation, region) -> unit"), ["n_name", "r_name"])
     w.names["ASIA"] = w.db.new_constant(w.names["region"], "ASIA")
     m = w.map("asian", "(nation) -> unit")
@@ -186,62 +176,38 @@ def const_filter(spark, sf_dir):
     return w.db.read(m, ["n_name"])
 
 
-def _home_trade(spark, sf_dir, rows: str) -> DataFrame:
+def repeated_var(spark, sf_dir):
+    """One variable twice in an atom."""
     w = _World(spark, "nation", "unit")
     lines = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     trade = lines.join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    w.db.load_facts(trade.where(rows), w.map("trade", "(nation, nation) -> unit"), ["c_nationkey", "s_nationkey"])
+    w.db.load_facts(trade, w.map("trade", "(nation, nation) -> unit"), ["c_nationkey", "s_nationkey"])
     m = w.map("home", "(nation) -> unit")
     w.run(["trade('n, 'n) -> home('n)"])
     return w.db.read(m, ["n_nationkey"])
 
 
-def repeated_var(spark, sf_dir):
-    """One variable twice in an atom."""
-    return _home_trade(spark, sf_dir, "l_quantity >= 49")
-
-
-def repeated_var_all(spark, sf_dir):
-    return _home_trade(spark, sf_dir, "true")
-
-
-def _people(spark, sf_dir, rows: str) -> _World:
+def _people(spark, sf_dir) -> _World:
     w = _World(spark, "nation", "unit")
-    w.db.load_facts(_table(spark, sf_dir, "customer").where(rows), w.map("buys", "(nation) -> unit"), ["c_nationkey"])
+    w.db.load_facts(_table(spark, sf_dir, "customer"), w.map("buys", "(nation) -> unit"), ["c_nationkey"])
     w.db.load_facts(_table(spark, sf_dir, "supplier"), w.map("sells", "(nation) -> unit"), ["s_nationkey"])
     return w
 
 
-def _trading(spark, sf_dir, rows: str) -> DataFrame:
-    w = _people(spark, sf_dir, rows)
+def union_rules(spark, sf_dir):
+    w = _people(spark, sf_dir)
     m = w.map("trades", "(nation) -> unit")
     w.run(["buys('n) -> trades('n)", "sells('n) -> trades('n)"])
     return w.db.read(m, ["n_nationkey"])
 
 
-def union_rules(spark, sf_dir):
-    return _trading(spark, sf_dir, "c_acctbal > 9000")
-
-
-def union_rules_all(spark, sf_dir):
-    return _trading(spark, sf_dir, "true")
-
-
-def _both(spark, sf_dir, rows: str) -> DataFrame:
-    w = _people(spark, sf_dir, rows)
+def intersect_atoms(spark, sf_dir):
+    w = _people(spark, sf_dir)
     m = w.map("both", "(nation) -> unit")
     w.run(["buys('n), sells('n) -> both('n)"])
     return w.db.read(m, ["n_nationkey"])
 
 
-def intersect_atoms(spark, sf_dir):
-    return _both(spark, sf_dir, "c_acctbal > 9000")
-
-
-def intersect_atoms_all(spark, sf_dir):
-    return _both(spark, sf_dir, "true")
-
-
 def guard_semijoin(spark, sf_dir):
     """An atom whose other variables no action reads."""
     w = _orders(spark, sf_dir)
@@ -250,31 +216,20 @@ def guard_semijoin(spark, sf_dir):
     return w.db.read(m, ["n_nationkey"])
 
 
-def _traded_classes(spark, sf_dir, rows: str) -> DataFrame:
+def unify_components(spark, sf_dir):
     """Unions by rule; classes of parts (even keys) and suppliers (odd keys)."""
     w = _World(spark, "node", "unit")
-    edges = _table(spark, sf_dir, "lineitem").where(rows).selectExpr("l_partkey * 2 as a", "l_suppkey * 2 + 1 as b")
+    edges = _table(spark, sf_dir, "lineitem").selectExpr("l_partkey * 2 as a", "l_suppkey * 2 + 1 as b")
     w.db.load_facts(edges, w.map("edge", "(node, node) -> unit"), ["a", "b"])
     w.run(["edge('x, 'y) -> 'x == 'y"])
     nodes = edges.selectExpr("a as node").unionByName(edges.selectExpr("b as node")).distinct()
     return w.db.classes(nodes, "node", w.names["node"])
 
 
-def unify_components(spark, sf_dir):
-    """Classes joined by few lines."""
-    return _traded_classes(spark, sf_dir, "l_quantity >= 50 and l_discount >= 0.1")
-
-
-def unify_components_all(spark, sf_dir):
-    """Classes joined by all lines."""
-    return _traded_classes(spark, sf_dir, "true")
-
-
 def congruence_cells(spark, sf_dir):
     """Cells of equal nations become equal."""
     w = _World(spark, "nation", "segment unit")
     customer, nation = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "nation")
-    w.db.load_constants(customer, "c_mktsegment", w.names["segment"])
     w.db.load_facts(customer, w.map("cell", "(nation, segment) -> unit"), ["c_nationkey", "c_mktsegment"])
     first = nation.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("first"))
     w.db.load_facts(nation.join(first, "n_regionkey"), w.map("same", "(nation, nation) -> unit"), ["n_nationkey", "first"])
@@ -285,36 +240,26 @@ def congruence_cells(spark, sf_dir):
 def congruence_chain(spark, sf_dir):
     """Turns follow turns: uniting the first of two conversations unites the rest."""
     w = _World(spark, "turn", "unit")
-    c = _table(spark, sf_dir, "conversations")
-    turns = c.selectExpr("conv_id * 1024 + turn as k")
-    w.db.load_facts(turns.join(turns.selectExpr("k - 1 as k", "k as b"), "k"), w.map("next", "(turn) -> turn"), ["k"], value="b")
-    starts = c.where("turn = 0 and conv_id % 2 = 1").selectExpr("conv_id * 1024 as a")
-    pairs = starts.join(c.where("turn = 0").selectExpr("(conv_id + 1) * 1024 as a", "conv_id * 1024 as b"), "a")
+    c, follow, width = _turns(spark, sf_dir)
+    w.db.load_facts(follow, w.map("next", "(turn) -> turn"), ["k"], value="b")
+    starts = c.where("turn = 0 and conv_id % 2 = 1").selectExpr("k as a")
+    pairs = starts.join(c.where("turn = 0").selectExpr(f"k + {width} as a", "k as b"), "a")
     w.db.load_facts(pairs, w.map("start", "(turn, turn) -> unit"), ["a", "b"])
     w.run(["start('x, 'y) -> 'x == 'y"])
-    out = w.db.classes(turns, "k", w.names["turn"])
-    return out.selectExpr("k div 1024 as conv_id", "k % 1024 as turn", "root div 1024 as root_conv")
+    out = w.db.classes(c.select("k"), "k", w.names["turn"])
+    return out.selectExpr(f"k div {width} as conv_id", f"k % {width} as turn", f"root div {width} as root_conv")
 
 
-def _quotient_closure(spark, sf_dir, rows: str) -> DataFrame:
+def unify_then_rules(spark, sf_dir):
+    """Closure of a quotient graph: about half the square of the customers in rows."""
     w = _graph(spark)
-    c = _table(spark, sf_dir, "customer").where(rows)
+    c = _table(spark, sf_dir, "customer")
     w.db.load_facts(c.selectExpr("c_custkey as a", "c_custkey + 3 as b"), w.names["edge"], ["a", "b"])
     w.db.load_facts(c.where("c_custkey % 4 = 0").selectExpr("c_custkey as a", "c_custkey + 1 as b"), w.map("same", "(node, node) -> unit"), ["a", "b"])
     w.run(["same('x, 'y) -> 'x == 'y", *CLOSURE])
     return w.db.read(w.names["path"], ["src", "dst"])
 
 
-def unify_then_rules(spark, sf_dir):
-    """Closure of a quotient graph of fixed size."""
-    return _quotient_closure(spark, sf_dir, "c_custkey < 100")
-
-
-def unify_then_rules_all(spark, sf_dir):
-    """Closure of the quotient graph of all customers: about half the square of their number in rows."""
-    return _quotient_closure(spark, sf_dir, "true")
-
-
 def dup_documents(spark, sf_dir):
     """A function of the text: equal texts have equal values."""
     w = _World(spark, "doc", "text")
@@ -332,10 +277,10 @@ def part_classes(spark, sf_dir):
 
 def rewrite_double_negation(spark, sf_dir):
     w = _World(spark, "value")
-    turns = _table(spark, sf_dir, "conversations").selectExpr("conv_id * 1024 + turn as k")
-    w.db.load_facts(turns.join(turns.selectExpr("k - 1 as k", "k as b"), "k"), w.map("not", "(value) -> value"), ["k"], value="b")
+    turns, follow, width = _turns(spark, sf_dir)
+    w.db.load_facts(follow, w.map("not", "(value) -> value"), ["k"], value="b")
     w.run([parse_rewrite("not(not('x)) -> 'x", w.names)])
-    return w.db.classes(turns, "k", w.names["value"]).selectExpr("k div 1024 as conv_id", "k % 1024 as turn", "root % 1024 as parity")
+    return w.db.classes(turns.select("k"), "k", w.names["value"]).selectExpr(f"k div {width} as conv_id", f"k % {width} as turn", f"root % {width} as parity")
 
 
 def rewrite_multi(spark, sf_dir):
@@ -410,7 +355,6 @@ QUERIES = {
         tc_hierarchy, tc_bounded, tc_linear, tc_cyclic, incremental, join_two, join_three, join_star_skip, triangle, cross, nested_output, const_filter,
         repeated_var, union_rules, intersect_atoms, guard_semijoin, unify_components, congruence_cells, congruence_chain, unify_then_rules, dup_documents,
         part_classes, rewrite_double_negation, rewrite_multi, equivalence_commute, peano_add, unconditional, lookup_term,
-        tc_cyclic_all, triangle_all, repeated_var_all, union_rules_all, intersect_atoms_all, unify_components_all, unify_then_rules_all,
     )
 }
 
@@ -423,28 +367,15 @@ ORACLE_SQL = {
     "incremental": _CLOSED_HEAP,
     "tc_bounded": f"WITH RECURSIVE e AS ({_HEAP}), p(src, dst, n) AS (SELECT a, b, 1 FROM e UNION SELECT p.src, e.b, n + 1 FROM p JOIN e ON p.dst = e.a WHERE n < 4) SELECT DISTINCT src, dst FROM p",
     "tc_linear": "SELECT a.conv_id, a.turn AS src, b.turn AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn",
-    "tc_cyclic": _RECURSIVE.format(edges="SELECT c_custkey AS a, (7 * c_custkey + 3) % (SELECT count(*) FROM customer) AS b FROM customer WHERE c_custkey % 3 <> 0"),
     "join_two": "SELECT DISTINCT o_orderkey, CAST(c_nationkey AS BIGINT) AS n_nationkey FROM orders JOIN customer ON o_custkey = c_custkey",
     "join_three": "SELECT DISTINCT o_orderkey, CAST(n_regionkey AS BIGINT) AS r_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
     "join_star_skip": "SELECT DISTINCT CAST(b.n_nationkey AS BIGINT) AS n_nationkey, s_suppkey FROM nation a JOIN nation b USING (n_regionkey) JOIN supplier ON s_nationkey = a.n_nationkey",
-    "triangle": "WITH r AS (SELECT DISTINCT l_partkey % 97 AS a, l_suppkey % 97 AS b FROM lineitem WHERE l_quantity >= 49) SELECT p.a AS x, q.a AS y, s.a AS z FROM r p JOIN r q ON p.b = q.a JOIN r s ON q.b = s.a AND s.b = p.a",
     "cross": "SELECT CAST(a.r_regionkey AS BIGINT) AS x, CAST(b.r_regionkey AS BIGINT) AS y FROM region a CROSS JOIN region b",
     "nested_output": "SELECT c_custkey AS node, c_custkey // 2 // 2 AS grandparent FROM customer WHERE c_custkey // 2 > 1",
     "const_filter": "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
-    "repeated_var": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49 AND c_nationkey = s_nationkey",
-    "union_rules": "SELECT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM customer WHERE c_acctbal > 9000 UNION SELECT CAST(s_nationkey AS BIGINT) FROM supplier",
-    "intersect_atoms": "SELECT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT CAST(s_nationkey AS BIGINT) FROM supplier",
     "guard_semijoin": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "unify_components": """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-p(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, p.root FROM p JOIN e ON p.node = e.a)
-SELECT node, min(root) AS root FROM p GROUP BY node""",
     "congruence_cells": "SELECT DISTINCT CAST(f AS BIGINT) AS nation, c_mktsegment AS segment FROM customer JOIN (SELECT n_nationkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS f FROM nation) ON c_nationkey = n_nationkey",
     "congruence_chain": "SELECT conv_id, turn, min(conv_id) OVER (PARTITION BY conv_id // 2, turn) AS root_conv FROM conversations",
-    "unify_then_rules": """WITH RECURSIVE c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey < 100),
-q AS (SELECT k, k + 3 AS n FROM c),
-e AS (SELECT DISTINCT CASE WHEN k % 4 = 1 AND k < 100 THEN k - 1 ELSE k END AS a, CASE WHEN n % 4 = 1 AND n - 1 < 100 THEN n - 1 ELSE n END AS b FROM q),
-p(src, dst) AS (SELECT a, b FROM e UNION SELECT p.src, e.b FROM p JOIN e ON p.dst = e.a) SELECT src, dst FROM p""",
     "dup_documents": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS root FROM documents",
     "part_classes": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS root FROM part",
     "rewrite_double_negation": "SELECT conv_id, turn, turn % 2 AS parity FROM conversations",
@@ -454,20 +385,19 @@ SELECT CAST(least(a, b) AS BIGINT) AS low, CAST(greatest(a, b) AS BIGINT) AS hig
     "peano_add": "SELECT a.r_regionkey::BIGINT AS a, b.r_regionkey::BIGINT AS b, (a.r_regionkey + b.r_regionkey)::BIGINT AS total FROM region a CROSS JOIN region b",
     "unconditional": "SELECT * FROM (VALUES ('x = y', true), ('x = z', false)) t(claim, holds)",
     "lookup_term": "SELECT n.k AS n_nationkey, r.k AS n_regionkey, EXISTS (SELECT 1 FROM nation WHERE n_nationkey = n.k AND nation.n_regionkey = r.k) AS found FROM (VALUES (0), (7), (24)) n(k) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) r(k)",
-    # whole tables
-    "tc_cyclic_all": _RECURSIVE.format(edges="SELECT c_custkey AS a, (7 * c_custkey + 3) % (SELECT count(*) FROM customer) AS b FROM customer"),
-    "triangle_all": "WITH r AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem) SELECT p.a AS x, q.a AS y, s.a AS z FROM r p JOIN r q ON p.b = q.a JOIN r s ON q.b = s.a AND s.b = p.a",
-    "repeated_var_all": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey = s_nationkey",
-    "union_rules_all": "SELECT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM customer UNION SELECT CAST(s_nationkey AS BIGINT) FROM supplier",
-    "intersect_atoms_all": "SELECT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM customer INTERSECT SELECT CAST(s_nationkey AS BIGINT) FROM supplier",
-    "unify_components_all": """WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem),
+    "tc_cyclic": _RECURSIVE.format(edges="SELECT c_custkey AS a, (7 * c_custkey + 3) % (SELECT count(*) FROM customer) AS b FROM customer"),
+    "triangle": "WITH r AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem) SELECT p.a AS x, q.a AS y, s.a AS z FROM r p JOIN r q ON p.b = q.a JOIN r s ON q.b = s.a AND s.b = p.a",
+    "repeated_var": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey = s_nationkey",
+    "union_rules": "SELECT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM customer UNION SELECT CAST(s_nationkey AS BIGINT) FROM supplier",
+    "intersect_atoms": "SELECT CAST(c_nationkey AS BIGINT) AS n_nationkey FROM customer INTERSECT SELECT CAST(s_nationkey AS BIGINT) FROM supplier",
+    "unify_components": """WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem),
 e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 p(node, root) USING KEY (node) AS (
   SELECT DISTINCT a, a FROM e
   UNION
   SELECT e.b, min(p.root) FROM p JOIN e ON p.node = e.a JOIN recurring.p AS q ON q.node = e.b WHERE p.root < q.root GROUP BY e.b)
 SELECT node, root FROM p""",
-    "unify_then_rules_all": """WITH RECURSIVE c AS (SELECT c_custkey AS k FROM customer),
+    "unify_then_rules": """WITH RECURSIVE c AS (SELECT c_custkey AS k FROM customer),
 q AS (SELECT k, k + 3 AS n FROM c),
 e AS (SELECT DISTINCT CASE WHEN k % 4 = 1 THEN k - 1 ELSE k END AS a, CASE WHEN n % 4 = 1 AND n - 1 IN (SELECT k FROM c) THEN n - 1 ELSE n END AS b FROM q),
 p(src, dst) AS (SELECT a, b FROM e UNION SELECT p.src, e.b FROM p JOIN e ON p.dst = e.a) SELECT src, dst FROM p""",

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in that of ``spark.checkpoint.dir``; only where
-    neither that nor a checkpoint folder is set (tests on one machine) in a
-    temporary one."""
+    """This application's folder in that of ``spark.checkpoint.dir``; where
+    neither that nor a checkpoint folder is set, in a temporary one if all runs
+    on one machine, else that is an error."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not given:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="koine-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(given)

@@ -9,6 +9,7 @@ iterations, and a lost executor costs a re-read, not a recomputation.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
@@ -40,6 +41,16 @@ class Folder:
         path = self.write(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()]), partition)
         return path, {k: v or 0 for k, v in seen.get.items()}
 
+    def written(self) -> int:
+        """How many tables have been written so far."""
+        return self._next
+
+    def drop(self, after: int, upto: int, live: set[str]) -> None:
+        """Remove the tables of these numbers but for those of ``live`` paths."""
+        kept = {int(p.removeprefix(self.path).split("/")[1]) for p in live if p.startswith(self.path)}
+        for n in set(range(after + 1, upto + 1)) - kept:
+            remove(self.spark, f"{self.path}/{n:06d}")
+
     def remove(self) -> None:
         remove(self.spark, self.path)
 
@@ -71,14 +82,20 @@ class MapStore:
     def everything(self) -> DataFrame:
         return self.read(self.base, self.delta, self.fresh)
 
+    def paths(self) -> set[str]:
+        return {p for region in (self.base, self.delta, self.fresh) for p, _ in region}
+
     @staticmethod
     def rows(*regions: list[tuple[str, int]]) -> int:
         return sum(n for r in regions for _, n in r)
 
-    def add(self, df: DataFrame) -> int:
-        """Append rows that are known to be absent; how many there were."""
+    def add(self, df: DataFrame, check: Callable[[str, int], None] | None = None) -> int:
+        """Append rows that are known to be absent; how many there were.
+        ``check`` sees the written part before it belongs to the map."""
         path, seen = self.folder.write_counted(df.select(*self.args, "out"))
         if seen["n"]:
+            if check:
+                check(path, seen["n"])
             self.fresh.append((path, seen["n"]))
         return seen["n"]
 
@@ -96,8 +113,10 @@ class MapStore:
         """All rows count as new."""
         self.fresh, self.base, self.delta = self.base + self.delta + self.fresh, [], []
 
-    def replace(self, path: str, old: int, new: int) -> None:
-        """Take a rewritten map whose parts lie in ``changed=false`` and ``changed=true``."""
-        self.base = [(f"{path}/changed=false", old)] if old else []
-        self.fresh = [(f"{path}/changed=true", new)] if new else []
+    def replace(self, path: str, old: int, new: int, parts: set[str] | None = None) -> None:
+        """Take rewritten rows, which lie in ``changed=false`` and ``changed=true``,
+        for some parts, or for all."""
+        stay = lambda region: [p for p in region if parts is not None and p[0] not in parts]
+        self.base = stay(self.base) + stay(self.delta) + ([(f"{path}/changed=false", old)] if old else [])
+        self.fresh = stay(self.fresh) + ([(f"{path}/changed=true", new)] if new else [])
         self.delta = []

@@ -22,7 +22,7 @@ def ingest(stream: DataFrame, domain: Domain, target: MapId, columns: list[str],
     Start it with the trigger and checkpoint of your choice."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        domain.database.load_facts(rows, target, columns, value)
+        domain.database.load_facts(rows, target, columns, value, keys_later=False)
         if iterations is None:
             domain.saturate()
         else:
