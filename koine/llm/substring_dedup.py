@@ -2,10 +2,11 @@
 
 The suffixes of all texts (one at every word) are split by variable-length
 prefixes of words: a prefix that too many suffixes share is extended by a word
-until its share is small, so that every group's subtree fits in memory.  A
-subtree is built to depth ``WINDOW``: an internal node there with leaves in
-several documents is a repeat, and such nodes at consecutive words of a text
-join to a longer, maximal one.
+until its share is small, so that every group's subtree fits in memory.  Of a
+subtree only what lies at depth ``WINDOW`` matters: an internal node there with
+leaves in several documents is a repeat, and such nodes at consecutive words of
+a text join to a longer, maximal one.  Edge labels are fingerprints of paths of
+``WINDOW`` words.
 
 1. Chunks are ranges of the document id, so a smaller range holds smaller ids.
 2. Most suffixes end in leaves of their own above that depth.  A chunk sends
@@ -13,15 +14,16 @@ join to a longer, maximal one.
    and learns which of them other ranges have, too; only these suffixes can
    reach a node.  Copies inside a chunk are combined first, so a passage that a
    third of all documents share is one entry per chunk.
-3. A chunk sends the words of those paths.  The group sorts them, which is its
-   suffix array; runs of equal labels are the nodes, with their leaf sets.  Each
-   chunk is told at which of its leaves the node has a leaf of a smaller range.
-4. A chunk joins this with its own repeats, marks the covered words and returns
-   its documents.
-
-Paths are the same when their words are; fingerprints only select.  Two of them
-that collide by accident (odds of about ``n * n / 2**65`` for ``n`` paths in a
-group) can hide a repeat but never remove a word.
+3. A chunk sends second, independent fingerprints of those paths, made from
+   their words anew.  The group sorts them, and runs of equal ones are its nodes
+   with their leaf sets.  Each chunk is told at which of its leaves the node has
+   a leaf of a smaller range.
+4. A chunk joins this with its own repeats, whose words it compares, marks the
+   covered words and returns its documents.
+
+Between chunks two paths are thus the same when 128 bits are, of hashes made
+independently from the words: a path that only looks repeated needs accidents
+in both, with odds of about ``(n / 2**64)**2`` among ``n`` paths of a group.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from koine.llm.chunks import id_ranges, layout, packed, text_of, text_size, unpacked
 from koine.llm.tables import table
 from koine.llm.text import (
-    buffers, combine, mix, pack_bytes, pack_rows, pack_sorted, releasing, releasing_cogroup, releasing_group, slices, strings, U, unpack_bytes, unpack_rows, unpack_sorted, Words, words,
+    buffers, combine, mix, pack_bytes, pack_sorted, releasing, releasing_cogroup, releasing_group, slices, strings, U, unpack_bytes, unpack_sorted, Words, words,
 )
 from koine.sources.scratch import written
 
@@ -45,8 +47,9 @@ WINDOW = 13
 #: Suffixes whose prefixes are counted at once, some 28 MB of text, and occurrences among them below which one is not reported.
 COUNT_ROWS = 4 << 20
 LEAST = 2
-#: Labels in a task that builds a subtree.
+#: Labels in a task that builds a subtree's nodes, and windows whose words are compared at once.
 LABELS = 1 << 20
+SECOND = 1
 
 
 def _prefix(w: Words, at: np.ndarray, depth: int) -> np.ndarray:
@@ -121,15 +124,15 @@ def _group_of(w: Words, at: np.ndarray, heavy: dict[int, np.ndarray], groups: in
 
 class Chunk:
     """A chunk's documents by id and its distinct paths, ordered by group and
-    fingerprint; with ``labels`` also their words."""
+    fingerprint; with ``second`` also the other fingerprints, with ``labels`` the words."""
 
-    def __init__(self, packs, heavy: dict[int, np.ndarray], groups: int, window: int, labels: bool = False):
+    def __init__(self, packs, heavy: dict[int, np.ndarray], groups: int, window: int, second: bool = False, labels: bool = False):
         rows = unpacked(packs)
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending")]))
         self.window = window
         self.ids = np.asarray(rows["doc_id"].combine_chunks())
         self.text = text_of(rows)
-        path, group, start, doc, first = [], [], [], [], [np.zeros(1, np.int64)]
+        path, other, group, start, doc, first = [], [], [], [], [], [np.zeros(1, np.int64)]
         plain, low, high, size = [], [], [], 0
         for a, z in slices(self.text):
             w = words(self.text, a, z)
@@ -139,6 +142,8 @@ class Chunk:
             start.append(at + first[-1][-1])
             doc.append(np.searchsorted(w.first, at, side="right") - 1 + a)
             first.append(w.first[1:] + first[-1][-1])
+            if second:
+                other.append(w.windows(window, SECOND)[0])
             if labels:
                 joined, starts, ends = w.joined()
                 plain.append(joined)
@@ -149,7 +154,7 @@ class Chunk:
         cat = lambda x, t: np.concatenate(x).astype(t, copy=False) if x else np.zeros(0, t)
         self.start, self.doc = cat(start, np.int64), cat(doc, np.int64)
         self.plain, self.low, self.high = cat(plain, np.uint8), cat(low, np.int64), cat(high, np.int64)
-        path, group = cat(path, U), cat(group, np.int32)
+        path, group, self.second = cat(path, U), cat(group, np.int32), cat(other, U)
         # the group goes into the order, not only the fingerprint: equal paths have equal groups
         self.paths, self.at, self.where = np.unique(path, return_index=True, return_inverse=True)
         own = group[self.at]
@@ -187,13 +192,12 @@ class Chunk:
         return np.cumsum(marks)[:n] > 0
 
 
-def nodes(labels: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def nodes(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leaves in the order of their labels, and where each node of equal labels begins."""
-    order = np.asarray(pc.sort_indices(labels)).astype(np.int64)
-    ordered = labels.take(pa.array(order))
+    order = np.argsort(labels, kind="stable")
+    ordered = labels[order]
     new = np.ones(len(order), dtype=bool)
-    if len(order) > 1:
-        new[1:] = ~np.asarray(pc.equal(ordered.slice(1), ordered.slice(0, len(order) - 1)))
+    new[1:] = ordered[1:] != ordered[:-1]
     return order, np.flatnonzero(new)
 
 
@@ -271,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         spread = lambda rows: np.array([zlib.crc32(t.as_buffer()) for t in b.column(1).take(pa.array(rows)).fill_null("")], dtype=np.int64)
         return ranges.of(np.asarray(b.column(0)), spread), b
 
-    packs = written(packed(known, chunk_of), "packs")
+    packs = packed(known, chunk_of)
 
     def tell(key, rows):
         c = Chunk(rows["pack"], heavy, groups, window)
@@ -294,10 +298,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         return _table(_MET, got)
 
     def show(key, left, right):
-        """The words of the paths that others have."""
+        """The second fingerprints of the paths that others have."""
         if not left.num_rows or not right.num_rows:
             return _table(_SHOWN, [])
-        c = Chunk(left["pack"], heavy, groups, window, labels=True)
+        c = Chunk(left["pack"], heavy, groups, window, second=True)
         met = {r["grp"]: r for r in right.to_pylist()}
         got = []
         for g, own in c.parts():
@@ -307,16 +311,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             part = (c.paths[own] >> U(32)) % U(met[g]["parts"])
             for p in np.unique(part[shared]).tolist():
                 mine = shared & (part == p)
-                labels = pack_rows(pa.RecordBatch.from_arrays([c.labels(c.at[own[mine]])], ["label"]))
-                got.append((key[0].as_py(), g, int(p), len(own), pack_bytes(np.packbits(mine)), labels))
+                got.append((key[0].as_py(), g, int(p), len(own), pack_bytes(np.packbits(mine)), c.second[c.at[own[mine]]].tobytes()))
         return _table(_SHOWN, got)
 
     def grow(key, rows):
-        """A group's subtree: which leaves have a leaf of a smaller range at their node."""
+        """A group's nodes: which leaves have a leaf of a smaller range at theirs."""
         chunk = np.asarray(rows["chunk"])
-        own = [unpack_rows(x.as_buffer())["label"].combine_chunks() for x in rows["labels"]]
+        own = [np.frombuffer(x.as_buffer(), dtype=U) for x in rows["labels"]]
         size = np.array([len(x) for x in own])
-        order, node = nodes(pa.concat_arrays(own))
+        order, node = nodes(np.concatenate(own))
         at = np.repeat(ranges.range_of(chunk), size)[order]
         least = np.repeat(np.minimum.reduceat(at, node), np.diff(np.append(node, len(at))))
         again = np.zeros(len(at), dtype=bool)

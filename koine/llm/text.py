@@ -40,19 +40,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A fingerprint of each ``data[start:end]``."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A fingerprint of each ``data[start:end]``; those of two seeds are independent."""
     length = ends - starts
     out = np.zeros(len(starts), dtype=U)
     long = np.flatnonzero(length > LONG_WORD)
     if len(long):
-        out[long] = mix(np.array([xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes()) for i in long], dtype=U))
+        out[long] = mix(np.array([xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed) for i in long], dtype=U))
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
     padded[: len(data)] = data
     lanes = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
     own = np.flatnonzero(length <= LONG_WORD) if len(long) else np.arange(len(starts))
     at, left = (starts[own], length[own]) if len(long) else (starts, length)
-    out[own] = mix(left.astype(U) + _GOLDEN)
+    out[own] = mix(left.astype(U) + _GOLDEN + mix(np.array([seed], dtype=U)))
     while len(own):
         block = lanes[at] & _MASK[np.minimum(left, 8)]
         out[own] = mix(out[own] * _STEP ^ block * _LANE)
@@ -132,13 +132,14 @@ class Words:
 
     def windows(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of all runs of ``k`` words inside one text, and the
-        index of each run's first word."""
+        index of each run's first word; of another seed from the words anew."""
         n = len(self.hashes) - k + 1
         if n <= 0:
             return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
         left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.hashes))
         at = np.flatnonzero(left[:n] >= k)
-        return combine([self.hashes[j : n + j] for j in range(k)], seed)[at], at
+        own = hash_words(self.data, self.starts, self.ends, seed) if seed else self.hashes
+        return combine([own[j : n + j] for j in range(k)], seed)[at], at
 
 
 def combine(columns: list[np.ndarray], seed: int = 0) -> np.ndarray:
