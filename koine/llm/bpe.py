@@ -17,6 +17,7 @@ the window, which makes the sequence the encoding of the whole run.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -80,7 +81,8 @@ def encode_run(run: str, leaves: Callable[[list[str]], list[Tokens]], encode: Ca
 
 
 class Codec:
-    """Encoder and decoder for the tokenizer file at ``path``, of a byte-level vocabulary.
+    """Encoder and decoder for the tokenizer file at ``path``.  Only texts of
+    byte-level vocabularies are cut.
 
     Batches, of pieces and of leaves, are encoded in parallel if the environment
     sets TOKENIZERS_PARALLELISM (for tasks of several cores)."""
@@ -94,6 +96,11 @@ class Codec:
         t.no_truncation()
         self.special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        said = json.loads(t.to_str())
+        steps = said["pre_tokenizer"] or {}
+        steps = steps.get("pretokenizers", [steps])
+        #: Whether tokens spell the bytes of a text as it is, so that parts can be joined by their bytes.
+        self.byte_level = said["normalizer"] is None and any(s.get("type") == "ByteLevel" for s in steps) and not any(s.get("add_prefix_space") for s in steps)
         vocabulary = t.get_vocab(with_added_tokens=True)
         most = max(vocabulary.values(), default=-1) + 1
         self.names = [str(i) for i in range(most)]
@@ -158,8 +165,6 @@ class Codec:
     def grown(self, pieces: list[str], coded: list[list[int]]) -> list[int]:
         """The encoding of a whole text from those of its pieces."""
         blobs = [x.encode() for x in pieces]
-        if any(sum(self.size[i] for i in ids) != len(b) for ids, b in zip(coded, blobs, strict=True)):
-            return self._ids("".join(pieces))  # not a byte-level vocabulary
         data = b"".join(blobs)
         ends = np.cumsum([len(b) for b in blobs]).tolist()
         level = list(zip(coded, ends, strict=True))  # tokens and where the part ends
@@ -177,7 +182,7 @@ class Codec:
             if unsplit:
                 plan.append(self._unsplit(t))
             else:
-                own = [t[k : k + PIECE] for k in range(0, len(t), PIECE)] or [""]
+                own = [t[k : k + PIECE] for k in range(0, len(t), PIECE)] if self.byte_level and len(t) > PIECE else [t]
                 plan.append((len(pieces), len(own)))
                 pieces += own
         coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
