@@ -357,8 +357,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each group, all columns kept.
-    Rows that share an id are kept or dropped together; rows without one stay."""
+    """``docs`` with the row of the smallest id of each group, all columns kept,
+    whatever their names.  Rows that share an id are kept or dropped together;
+    rows without id, text or words stay.  An empty table gives an empty result."""
     groups = near_groups(docs, id_col, text_col).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
     kept = rows.join(written(groups, "kept"), F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")

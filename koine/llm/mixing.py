@@ -256,17 +256,21 @@ def in_order(
     return placed.repartitionByRange(n, "slot", "offset").sortWithinPartitions("slot", "offset").select("row.*")
 
 
-def with_position(ordered: DataFrame) -> DataFrame:
-    """The written and reread rows of ``in_order`` with ``position``, from 0: their
-    place in the mixture by file number and row of the file, however Spark packs
-    the files into tasks.  ``ordered`` must be a Parquet table as read."""
+def with_position(ordered: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The written and reread rows of ``in_order``, or some of their ``columns``,
+    with ``position``, from 0 (``mix_position`` beside a column of that name):
+    their place in the mixture by file number and row of the file, however Spark
+    packs the files into tasks.  ``ordered`` must be a Parquet table as read."""
+    columns = ordered.columns if columns is None else columns
     name = F.col("_metadata.file_name")
     part, chunk = (F.coalesce(F.regexp_extract(name, p, 1).try_cast("long"), F.lit(0)) for p in (r"^part-(\d+)", r"-c(\d+)\."))
-    rows = ordered.select(*ordered.columns, part.alias("_part"), chunk.alias("_chunk"), F.col("_metadata.row_index").alias("_row"))
+    # the row as one column, so that no name of its columns can clash
+    rows = ordered.select(F.struct(*columns).alias("row"), part.alias("part"), chunk.alias("chunk"), F.col("_metadata.row_index").alias("at"))
     # a row per file
-    ahead = W.orderBy("_part", "_chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy("_part", "_chunk").count().withColumn("_start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
-    return rows.join(F.broadcast(starts), ["_part", "_chunk"]).select(*ordered.columns, (F.col("_start") + F.col("_row")).alias("position"))
+    ahead = W.orderBy("part", "chunk").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("part", "chunk").count().withColumn("start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
+    position = (F.col("start") + F.col("at")).alias("mix_position" if "position" in columns else "position")
+    return rows.join(F.broadcast(starts), ["part", "chunk"]).select(*[F.col("row").getField(c).alias(c) for c in columns], position)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,81 @@
+"""Segments, phases and target weights over many periods; the registered query against a plain schedule."""
+
+import os
+import random
+
+import pytest
+
+from koine.llm import mixing
+from tests.oracle import SF_DIR
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 0.25, "b": 0.75}, {"a": 0.9999, "b": 0.0001}, {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.06, "e": 0.04}])
+def test_less_than_a_block_from_the_given_weights_over_ten_periods(weights):
+    parts = mixing.exact(list(weights.values()))
+    d, one = sum(parts), mixing.period(parts)
+    seen = [0] * len(parts)
+    for i, j, t in mixing.placements(parts, [10 * one * p // d for p in parts]):
+        assert j == seen[i]
+        seen[i] += 1
+        assert all(abs(seen[x] * d - (t + 1) * parts[x]) < d for x in range(len(parts)))
+    assert sum(seen) == 10 * one
+
+
+def test_every_block_once_within_the_bound_until_the_first_end():
+    rng = random.Random(1)
+    for _ in range(120):
+        n = rng.choice([1, 2, 3, 5, 9])
+        weights = [rng.choice([rng.random(), 0.5, 0.1, 1 / 3, 1e-3, 0.0001, rng.randrange(1, 9) / 16]) for _ in range(n)]
+        blocks = [rng.randrange(0, 200) for _ in range(n)]
+        parts = mixing.exact(weights)
+        own = [p for p, b in zip(parts, blocks) if b]
+        seen, last = [0] * n, -1
+        first_end = min((b * sum(own) / p for b, p in zip(blocks, parts) if b), default=0)
+        for i, j, t in mixing.placements(parts, blocks):
+            assert j == seen[i] and t > last
+            last = t
+            seen[i] += 1
+            if t + 1 <= first_end:
+                assert all(abs(seen[x] * sum(own) - (t + 1) * parts[x]) < sum(own) for x in range(n) if blocks[x])
+        assert seen == blocks and last < 2 * sum(blocks) + 10 * n
+
+
+@pytest.mark.parametrize("segment", [1, 40, 1 << 18])
+def test_segments_are_the_schedule(spark, monkeypatch, segment):
+    monkeypatch.setattr(mixing, "SEGMENT", segment)
+    counts = {"+a": 400, "+b": 90, "-": 35}
+    given = {"+a": 0.5, "+b": 0.3, "-": 0.2}
+    got = mixing._slots(spark.createDataFrame(list(counts.items()), "src string, count long"), given, 4).collect()
+    names = sorted(counts)
+    parts = mixing.exact([given[k] for k in names])
+    assert sorted((r["slot"], r["src"], r["block"]) for r in got) == [(t, names[i], j) for i, j, t in mixing.placements(parts, [-(-counts[k] // 4) for k in names])]
+
+
+def test_columns_of_the_same_names_stay(spark):
+    frame = spark.createDataFrame([(1, "s", 5, 6, "o")], "doc_id long, source string, block long, slot long, offset string")
+    out = mixing.mixed(frame)
+    assert out.columns == ["doc_id", "source", "block", "slot", "offset", "mix_block", "mix_slot", "mix_offset"] and tuple(out.first()) == (1, "s", 5, 6, "o", 0, 0, 0)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the tables are not here")
+def test_the_registered_query_against_a_plain_schedule(spark):
+    rows = [(r["doc_id"], r["source"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    counts = {}
+    for _, s in rows:
+        counts[s] = counts.get(s, 0) + 1
+    weights = mixing.tempered(counts)
+    names = sorted(counts)
+    blocks = [-(-counts[k] // mixing.BLOCK_ROWS) for k in names]
+    due = {(names[i], j): t for i, j, t in mixing.placements(mixing.exact([weights[k] for k in names]), blocks)}
+    got = mixing.query(spark, SF_DIR).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in got) == sorted(rows)
+    held = {}
+    for r in got:
+        assert r["slot"] == due[r["source"], r["block"]]
+        held.setdefault((r["source"], r["block"]), []).append(r["offset"])
+    assert all(sorted(v) == list(range(len(v))) for v in held.values()) and set(held) == set(due)
+    # plain: no source is a block away from its share before one ends
+    first = min(b / float(weights[k]) for k, b in zip(names, blocks))
+    for t in range(1, int(first) + 1):
+        for k in names:
+            assert abs(sum(s == k and x < t for (s, _), x in due.items()) - t * float(weights[k] / sum(weights.values()))) < 1 + 1e-9
