@@ -7,6 +7,9 @@ predecessor kept; all but the last return the columns of ``documents``.  The
 mixing stage keeps every row and decides the order: its files, by name, and the
 rows in a file follow the mixture, and the encoding stage reads each row's
 position from there.
+
+In every stage: null text counts as empty, long texts are read whole, further
+columns of any name pass through, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,28 +25,34 @@ WEIGHTS: dict[str | None, float] | None = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the Bradley-Terry classifier rejects."""
+    """Drops documents that the Bradley-Terry classifier rejects: repeated rows
+    together, rows without id by their text like any other; a score of exactly
+    the threshold stays, and without labels of both classes all do."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of equal texts."""
+    """Keeps the smallest id of each group of equal texts: one row, also of rows
+    that repeat both id and text, or have no id.  Null and empty texts are one group."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies."""
+    """Keeps the smallest id of each group of near copies.  Rows without id, text
+    or words are in no group and stay; rows of one id stay or go together."""
     return jaccard_join.drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the documents into the order of the mixture."""
+    """Puts the documents into the order of the mixture; a null source is one of
+    its own, ties in a source go by id, repeated rows follow one another."""
     return mixing.in_order(docs, WEIGHTS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with their digests and its position in the mixture."""
-    return bpe.tokenize(mixing.with_position(docs), with_ids=True, keep=("position",))
+    """Token ids of each document, with their digests and its position in the
+    mixture: a row per row, null ids stay null, null text has no tokens."""
+    return bpe.tokenize(mixing.with_position(docs, ["doc_id", "text"]), with_ids=True, keep=("position",))
 
 
 STAGES = [
