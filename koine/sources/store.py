@@ -27,9 +27,11 @@ class Folder:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/db-{uuid.uuid4().hex}"
         self._next = 0
+        self._there: set[int] = set()
 
     def write(self, df: DataFrame, partition: str | None = None) -> str:
         self._next += 1
+        self._there.add(self._next)
         path = f"{self.path}/{self._next:06d}"
         out = df.write.option("compression", "zstd")
         (out.partitionBy(partition) if partition else out).parquet(path)
@@ -48,7 +50,8 @@ class Folder:
     def drop(self, after: int, upto: int, live: set[str]) -> None:
         """Remove the tables of these numbers but for those of ``live`` paths."""
         kept = {int(p.removeprefix(self.path).split("/")[1]) for p in live if p.startswith(self.path)}
-        for n in set(range(after + 1, upto + 1)) - kept:
+        for n in sorted(n for n in self._there - kept if after < n <= upto):
+            self._there.discard(n)
             remove(self.spark, f"{self.path}/{n:06d}")
 
     def remove(self) -> None:
