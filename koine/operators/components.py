@@ -39,12 +39,13 @@ def _small_star(e: DataFrame, many: bool) -> DataFrame:
     return linked.unionByName((kept if many else low).select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def _settled(e: DataFrame) -> bool:
-    """Whether every edge leads from a node with no other edge to a root."""
+def _state(e: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether each leads from a node with no other edge to a root."""
     ends = e.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
     ends = ends.unionByName(e.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return not each.where("up > 1 or up = 1 and down = 1").limit(1).count()
+    got = each.agg(F.sum("up").alias("n"), F.count_if(F.expr("up > 1 or up = 1 and down = 1")).alias("open")).first()
+    return got["n"] or 0, not got["open"]
 
 
 def on_driver(edges: list[tuple]) -> list[tuple]:
@@ -73,8 +74,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     e = checkpointed(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(MAX_ROUNDS):
-        n = e.count()
-        if n == 0 or _settled(e):
+        n, settled = _state(e)
+        if settled:
             break
         many = n > FILE_EDGES
         large = _large_star(e, many)
