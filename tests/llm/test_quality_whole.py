@@ -1,0 +1,70 @@
+"""The model is of all labelled rows and all pairs, wherever they are added."""
+
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from koine.llm import quality
+from koine.llm.text import buffers, strings, words
+
+
+def rows(n, seed=5):
+    rng = random.Random(seed)
+    for i in range(n):
+        y = int(rng.random() < 0.7)
+        vocabulary = ["the", "house", "water,", "green.", "Small"] + (["of", "and"] if y else ["BUY!!", "%$#", "the", "9.9"])
+        yield i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 12))), y
+
+
+def frames(spark, table):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in table], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, y) for i, _, y in table], "doc_id long, quality int")
+
+
+def taught(table):
+    table = [r for r in table if zlib.crc32(str(r[0]).encode()) % 5]
+    column = strings(pa.array([t for _, t, _ in table]))
+    return quality.features(words(column, 0, len(column)), buffers(column)[1]), np.array([y for _, _, y in table])
+
+
+def equal(a, b):
+    return all(np.array_equal(x, y) for x, y in ((a.mean, b.mean), (a.scale, b.scale), (a.weights, b.weights))) and a.cut == b.cut
+
+
+def test_every_labelled_row_teaches(spark):
+    table = list(rows(20_000))
+    x, y = taught(table)
+    assert len(y) > 15_000
+    model = quality.train(*frames(spark, table))
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    assert model.cut == pytest.approx(np.quantile(model.raw(x), np.mean(y == 0)), abs=1e-9)
+    assert equal(model, quality.fit(x, y))
+
+
+def test_executors_add_up_to_the_same_model(spark, monkeypatch):
+    table = list(rows(1500))
+    docs, labels = frames(spark, table)
+    monkeypatch.setattr(quality, "DRIVER_ROWS", 0)
+    spread = quality.train(docs.union(docs).repartition(5), labels)  # a repeated id counts once
+    assert equal(spread, quality.fit(*taught(table)))
+    none = quality.train(docs, labels.where("quality = 1"))
+    assert not none.weights.any() and none.score(np.zeros((1, len(none.weights)))) == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize("n, noise", [(40, 0.0), (700, 0.0), (700, 1.0)])
+def test_all_pairs(n, noise):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 6))
+    x[:, 5] = x[:, 4] + 0.01 * x[:, 5]
+    y = (x @ [2, -1, 0, 0.5, 1, 1] + noise * rng.standard_normal(n) > -0.7).astype(int)
+    model = quality.fit(x, y)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -6, 6)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 6)
+    p = 1 / (1 + np.exp(d @ model.weights))
+    assert np.abs(quality.RIDGE * model.weights - d.T @ p / len(d)).max() < 1e-8  # where the loss of all pairs is least
+    assert model.cut == pytest.approx(np.quantile(z @ model.weights, np.mean(y == 0)), abs=1e-9)
+    order = rng.permutation(n)
+    assert equal(model, quality.fit(x[order], y[order]))
