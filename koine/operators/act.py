@@ -10,6 +10,7 @@ from koine.errors import CollisionError
 from koine.functions.ids import MapId, TermId, term_column
 from koine.operators.rebuild import Roots
 from koine.plans.compile import CompiledRule, Ref
+from koine.sources.scratch import shuffled
 from koine.sources.store import MapStore
 
 #: Rows of a map up to which it is simply joined, and candidates up to which they are broadcast to a larger one.
@@ -100,6 +101,10 @@ def _add_absent(store: MapStore, absent: DataFrame, roots: Roots | None, late: b
             absent = store.folder.spark.read.schema(absent.schema).parquet(path)
             if seen["n"] <= BROADCAST_ROWS:
                 there = there.join(F.broadcast(absent), store.args, "left_semi")
+            else:
+                there = shuffled(there)
+        elif held > SMALL_MAP:
+            there = shuffled(there)
         absent = absent.join(there, store.args, "left_anti")
     made = absent.withColumn("out", term_column(store.map.index, [F.col(a) for a in store.args]))
     path, seen = store.append(made, None if late or held < VERIFY_ROWS else lambda path: verify(store, [path], roots), far)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from koine.sources.scratch import checkpointed, written
+from koine.sources.scratch import checkpointed, shuffled, written
 
 MAX_ROUNDS = 100
 #: Edges up to which a round is one small job and one file, and edges in a file beyond.
@@ -21,7 +21,7 @@ FILE_EDGES = 100_000
 
 
 def _minima(low: DataFrame, many: bool) -> DataFrame:
-    return written(low, "minima") if many else F.broadcast(low)
+    return shuffled(written(low, "minima")) if many else F.broadcast(low)
 
 
 def _large_star(e: DataFrame, many: bool) -> DataFrame:

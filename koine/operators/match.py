@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from koine.functions.ids import TermId
 from koine.operators.rebuild import BROADCAST_ROWS
 from koine.plans.compile import Atom, CompiledRule, join_order
+from koine.sources.scratch import shuffled
 from koine.sources.store import MapStore
 
 
@@ -71,7 +72,7 @@ def farther(store: MapStore, farthest: tuple[str, int]) -> DataFrame | None:
     rest = [p for p in store.base + store.delta if p[0] != path]
     left = store.read(rest).select("a0", F.col("a1").alias("_y"), F.lit(False).alias("far")).unionByName(last.select("a0", F.col("a1").alias("_y"), "far"))
     right = last.where("far").select(F.col("a0").alias("_y"), "a1")
-    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, "_y").groupBy("a0", "a1").agg(F.min("far").alias("far"))
+    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else shuffled(right), "_y").groupBy("a0", "a1").agg(F.min("far").alias("far"))
 
 
 def matches(rule: CompiledRule, stores: Mapping[int, MapStore], roots: Mapping[int, int]) -> DataFrame | None:

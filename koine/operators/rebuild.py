@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from koine.operators.components import components, on_driver
+from koine.sources.scratch import shuffled
 from koine.sources.store import Folder, MapStore
 
 BROADCAST_ROWS = 200_000
@@ -97,7 +98,7 @@ class Moved:
 
 def replaced(df: DataFrame, column: str, moved: DataFrame, count: int) -> DataFrame:
     m = moved.select(F.col("term_id").alias(column), F.col("root").alias("_root"))
-    return df.join(F.broadcast(m) if count <= BROADCAST_ROWS else m, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
+    return df.join(F.broadcast(m) if count <= BROADCAST_ROWS else shuffled(m), column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
 
 
 def _parts(store: MapStore, columns: list[str], moved: DataFrame, count: int) -> set[str]:
@@ -116,7 +117,7 @@ def _parts(store: MapStore, columns: list[str], moved: DataFrame, count: int) ->
     files = met.select("_file")
     if store.args:
         mine = met.select(*store.args)
-        files = files.unionByName(held.join(F.broadcast(mine) if seen["n"] <= BROADCAST_ROWS else mine, store.args, "left_semi").select("_file"))
+        files = files.unionByName(held.join(F.broadcast(mine) if seen["n"] <= BROADCAST_ROWS else shuffled(mine), store.args, "left_semi").select("_file"))
     found = [r["_file"] for r in files.distinct().collect()]
     # a file lies in its part's folder; schemes are written in several ways
     plain = {p: f"/{p.split(':', 1)[-1].lstrip('/')}/" for p in names}

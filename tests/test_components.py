@@ -30,3 +30,15 @@ def test_no_edges_and_strings(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     got = components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")).collect()
     assert {(r["node"], r["root"]) for r in got} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
+def test_many_minima_are_not_broadcast(spark):
+    """Small files of many ids: Spark alone would send them to the driver."""
+    from koine.operators.components import _large_star, _small_star
+    from koine.operators.rebuild import BROADCAST_ROWS, replaced
+
+    edges = spark.range(1000).selectExpr("id + 1 as a", "id as b")
+    moved = edges.selectExpr("a as term_id", "b as root")
+    for df in (_large_star(edges, True), _small_star(edges, True), replaced(edges, "a", moved, BROADCAST_ROWS + 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
