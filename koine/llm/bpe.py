@@ -99,6 +99,8 @@ class Codec:
         said = json.loads(t.to_str())
         steps = said["pre_tokenizer"] or {}
         steps = steps.get("pretokenizers", [steps])
+        #: The bytes of each token, where the decoder only joins them.
+        self.bytes = self._spelled() if (said["decoder"] or {}).get("type") == "ByteLevel" else None
         #: Whether tokens spell the bytes of a text as it is, so that parts can be joined by their bytes.
         self.byte_level = said["normalizer"] is None and any(s.get("type") == "ByteLevel" for s in steps) and not any(s.get("add_prefix_space") for s in steps)
         vocabulary = t.get_vocab(with_added_tokens=True)
@@ -112,6 +114,17 @@ class Codec:
             self.opens[i] = not special and token.startswith("\u0120")  # the byte alphabet's space
             self.closes[i] = "!" <= token[-1:] <= "~"
 
+    def _spelled(self) -> list[bytes | None]:
+        """What each token stands for: its characters' bytes, or itself if one of them is not in the byte alphabet."""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        alphabet = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        out: list[bytes | None] = [None] * (max(vocabulary.values(), default=-1) + 1)
+        for token, i in vocabulary.items():
+            own = [alphabet.get(c) for c in token]
+            out[i] = token.encode() if None in own else bytes(own)
+        return out
+
     def _merges(self, run: str) -> Tokens:
         return [(x.id, x.value) for x in self.tokenizer.model.tokenize(run)]
 
@@ -197,6 +210,13 @@ class Codec:
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts of token ids; the library decodes what is not joined bytes of a text."""
+        if self.bytes is not None:
+            try:
+                spelled = self.bytes
+                return [b"".join([spelled[i] for i in x]).decode() for x in ids]
+            except (UnicodeDecodeError, IndexError, TypeError):
+                pass
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def digest(self, ids: list[int]) -> str:
