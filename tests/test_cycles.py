@@ -1,0 +1,37 @@
+"""Cyclic queries drop rows that cannot close a cycle before they are joined."""
+
+import random
+
+from koine import Domain, parse_rule
+from koine.operators import match
+from koine.plans.compile import compile_rule
+from tests.test_engine import db, graph  # noqa: F401
+
+RULE = "edge('x, 'y), edge('y, 'z), edge('z, 'x) -> tri('x, 'y, 'z)"
+
+
+def test_triangles_without_what_cannot_close(spark, db, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(match, "REDUCE_ROWS", 0)
+    rng = random.Random(2)
+    edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(60)} | {(100 + k, k % 14) for k in range(40)}
+    names = graph(db, [])
+    names["tri"] = db.map("tri", [names["node"]] * 3, names["unit"])
+    db.load_facts(spark.createDataFrame(sorted(edges), "a long, b long"), names["edge"], ["a", "b"])
+    domain = Domain(db, [parse_rule(RULE, names)])
+    stores = db._stores
+    for s in stores.values():
+        s.begin()
+    plan = match.matches(compile_rule(parse_rule(RULE, names)), stores, {})._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    for s in stores.values():
+        s.restart()
+    domain.saturate()
+    got = {tuple(r) for r in db.read(names["tri"], ["x", "y", "z"]).collect()}
+    assert got == {(x, y, z) for x, y in edges for y2, z in edges if y == y2 and (z, x) in edges}
+
+
+def test_what_closes_a_cycle(db):  # noqa: F811
+    names = graph(db, [])
+    for text, closing in ((RULE.replace("tri('x, 'y, 'z)", "path('x, 'y)"), [2]), ("edge('x, 'y), edge('y, 'z) -> path('x, 'z)", []), ("edge('x, 'y), edge('y, 'x) -> path('x, 'x)", [])):
+        atoms = compile_rule(parse_rule(text, names)).atoms
+        assert match.closes(atoms, [0, 1, 2][: len(atoms)]) == closing
